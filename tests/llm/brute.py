@@ -1,0 +1,132 @@
+"""The contracts of the training-data operators, computed the plain way in Python."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import xxhash
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACE_WORD = re.compile("[^\x20\x09-\x0d]+")
+TERM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def crc_mod(doc_id, n):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def judge(url, rules):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+        host, path = m[1].translate(UPPER), m[2]
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, "allow"))
+    return host, path, best[1], best[2]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def pii(text):
+    text = text or ""
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    )
+    spans = sorted((m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0]))
+    n = Counter(s[3] for s in spans)
+    listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+    return tuple(n[k] for k, _, _ in kinds) + (sha(listed), listed)
+
+
+def tokens(text):
+    return SPACE_WORD.findall((text or "").translate(UPPER)) + [None]
+
+
+def lm_base(docs):
+    counts = Counter(t for d, text in docs if crc_mod(d, 7) != 2 for t in tokens(text))
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for d, text in docs:
+        ts = tokens(text)
+        out.append((d, crc_mod(d, 7) == 2, len(ts), sum(counts[t] > 0 for t in ts), n, sum(math.log10((counts[t] + 1) / (n + 1 * (v + 1))) for t in ts)))
+    return out
+
+
+def contamination(docs, items, window=10):
+    windows = defaultdict(set)
+    for item, text in items:
+        ws = TERM.findall((text or "").translate(UPPER))
+        if ws:
+            for i in range(max(1, len(ws) - window + 1)):
+                windows[tuple(ws[i : i + window])].add("" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for d, text in docs:
+        ws, hit, found = TERM.findall((text or "").translate(UPPER)), set(), set()
+        for n in sizes:
+            for i in range(len(ws) - n + 1):
+                if (w := tuple(ws[i : i + n])) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[w]
+        out.append((d, len(ws), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
+
+
+def fingerprint(text):
+    ws = SPACE_WORD.findall((text or "").translate(UPPER))
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(ws[i : i + 4]).encode(), 42) for i in range(max(1, len(ws) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def near_duplicates(docs):
+    prints = [(d, fingerprint(t)) for d, t in docs]
+    distinct = sorted({f for _, f in prints})
+    parent = {f: f for f in distinct}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    least = {}
+    for d, f in prints:
+        if d is not None:
+            least[find(f)] = min(least.get(find(f), d), d)
+    return [(d, f"{f:016x}", least.get(find(f))) for d, f in prints]
+
+
+def source_targets(sizes):
+    """sizes: {source: size}. Shares by weight, capped at three times the size, the rest shared again."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in target]
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free} if free else {}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return target | share
+        target |= {s: 3 * sizes[s] for s in over}
