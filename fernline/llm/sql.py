@@ -56,13 +56,13 @@ targets AS (
 ranked AS (
   SELECT s.*, row_number() OVER (
     PARTITION BY source
-    ORDER BY lpad(length(size::varchar)::varchar, 2, '0') || substr(size::varchar, 1, 2) || substr(md5(coalesce(doc_id::varchar, '')), 1, 2), size, doc_id NULLS FIRST) - 1 AS at
+    ORDER BY lpad(length(size::varchar)::varchar, 2, '0') || substr(size::varchar, 1, 2) || substr(md5(coalesce(doc_id::varchar, '')), 1, 2), size, doc_id NULLS FIRST) - 1 AS pos
   FROM sized s),
 placed AS (
-  SELECT r.doc_id, r.size, r.at, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, {_UNIT.format("'mix:' || coalesce(r.source, '')")} AS u
+  SELECT r.doc_id, r.size, r.pos, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, {_UNIT.format("'mix:' || coalesce(r.source, '')")} AS u
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies
-FROM (SELECT *, cast(floor(rate * (at + 1) + u) - floor(rate * at + u) AS bigint) AS copies FROM placed)
+FROM (SELECT *, cast(floor(rate * (pos + 1) + u) - floor(rate * pos + u) AS bigint) AS copies FROM placed)
 """
 
 
