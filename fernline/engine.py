@@ -46,7 +46,7 @@ class Engine:
         tree = parse(text) if isinstance(text, str) else text
         return Lowerer(self.catalog, params, ordered).query(tree)[0]
 
-    def query(self, text: str, params: dict[str, object] | None = None) -> DataFrame:
+    def query(self, text: str | ast.Query, params: dict[str, object] | None = None) -> DataFrame:
         """The result as a DataFrame, not run yet. Row order follows ``order by`` only."""
         return self.lower(text, params).df
 

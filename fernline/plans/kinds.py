@@ -32,6 +32,7 @@ class Ex:
     unsure: bool = False  # a bool whose NULL means false
     literal: object = field(default=_NOTHING, compare=False)
     members: dict[str, Ex] | None = None  # of an obj made of columns
+    name: str | None = None  # of the column that a VARIANT alias is
 
     @property
     def is_literal(self) -> bool:

@@ -48,6 +48,17 @@ def _refers(node: object, alias: str) -> bool:
     return isinstance(node, tuple) and any(_refers(v, alias) for v in node)
 
 
+def _has_scalar_subquery(node: object, bare: bool = True) -> bool:
+    """Whether a subquery stands where one value is wanted (not under exists or in)."""
+    if isinstance(node, ast.Subquery):
+        return bare
+    if isinstance(node, ast.Exists | ast.In):
+        return any(_has_scalar_subquery(v, False) for v in vars(node).values())
+    if isinstance(node, ast.Node):
+        return any(_has_scalar_subquery(v) for v in vars(node).values())
+    return isinstance(node, tuple) and any(_has_scalar_subquery(v, bare) for v in node)
+
+
 def _aliases(node: object, known: set[str]) -> set[str]:
     return {a for a in known if _refers(node, a)}
 
@@ -99,7 +110,7 @@ class Lowerer:
         elif self.catalog.document is not None:
             name = self.fresh(alias)
             df, rest = self.catalog.document.select(F.col("doc").alias(name)), segments
-            row = Ex("any", F.col(name), T.VariantType())
+            row = Ex("any", F.col(name), T.VariantType(), name=name)
         else:
             known = ", ".join(f".{n}[]" for n in sorted(self.catalog.tables)) or "none"
             raise QueryError(f"no such table in the document (it has {known})", path.position)
@@ -125,7 +136,7 @@ class Lowerer:
     def explode(self, df: DataFrame, row: Ex, alias: str, orders: list[str]) -> tuple[DataFrame, Ex, list[str]]:
         pos, name = self.fresh("pos"), self.fresh(alias)
         df = df.select("*", F.posexplode(row.col).alias(pos, name))
-        return df, K.typed(F.col(name), row.dtype) if row.kind != "any" else Ex("any", F.col(name), T.VariantType()), [*orders, pos]
+        return df, K.typed(F.col(name), row.dtype) if row.kind != "any" else Ex("any", F.col(name), T.VariantType(), name=name), [*orders, pos]
 
     def walk(self, e: Ex, segments: list) -> Ex:
         for s in segments:
@@ -260,18 +271,20 @@ class Lowerer:
 
     # --- subqueries
 
-    def outer_scope(self, scope: Scope) -> Scope:
+    def outer_scope(self, scope: Scope, as_json: bool = False) -> Scope:
         """The aliases of a query as its subqueries see them."""
 
         def outer(e: Ex) -> Ex:
+            if as_json and e.name is not None:
+                return Ex("any", F.parse_json(F.col(f"{e.name}_json").outer()), e.dtype)
             if e.members is not None:
                 return replace(e, members={n: outer(m) for n, m in e.members.items()}, present=None if e.present is None else _outer_col(e.present))
             return replace(e, col=None if e.col is None else _outer_col(e.col), present=None if e.present is None else _outer_col(e.present))
 
         return Scope({n: outer(e) for n, e in scope.aliases.items()}, None if scope.row is None else outer(scope.row), scope.closed)
 
-    def subquery(self, q: ast.Query, scope: Scope) -> tuple[DataFrame, Ex]:
-        outer = self.outer_scope(scope)
+    def subquery(self, q: ast.Query, scope: Scope, as_json: bool = False) -> tuple[DataFrame, Ex]:
+        outer = self.outer_scope(scope, as_json)
         clash = {q.alias, *(j.alias for j in q.joins), *(u.alias for u in q.unnests)} & set(scope.aliases)
         if clash:
             raise QueryError(f"alias {sorted(clash)[0]!r} of a subquery is already in use outside", q.path.position)
@@ -291,7 +304,7 @@ class Lowerer:
     def scalar_subquery(self, q: ast.Query, scope: Scope) -> Ex:
         if not self.is_scalar(q):
             q = replace(q, limit=1)
-        df, value = self.subquery(q, scope)
+        df, value = self.subquery(q, scope, as_json=True)
         name = self.fresh("value")
         out = K.first(value)
         col = df.select(out.output().alias(name)).scalar()
@@ -386,8 +399,13 @@ class Lowerer:
             name, pos = self.fresh(u.alias), self.fresh("pos") if need_order else None
             df = relational.unnest(df, e.col, name, pos)
             orders = [*orders, pos] if pos else orders
-            self.bind(aliases, u.alias, K.typed(F.col(name), e.dtype) if e.kind != "any" else Ex("any", F.col(name), T.VariantType()), 0)
+            self.bind(aliases, u.alias, K.typed(F.col(name), e.dtype) if e.kind != "any" else Ex("any", F.col(name), T.VariantType(), name=name), 0)
             self.steps.append(f"unnest {u.alias}")
+        if outer is None and _has_scalar_subquery(q):
+            # Spark correlates scalar subqueries by columns that can be grouped, which a VARIANT can't: its JSON text stands for it.
+            for e in aliases.values():
+                if e.name is not None:
+                    df = df.withColumn(f"{e.name}_json", F.to_json(e.col))
         scope = Scope(aliases, row)
         if q.where is not None:
             df = df.where(K.truthy(self.ex(q.where, scope)))
@@ -420,6 +438,11 @@ class Lowerer:
         if q.select is not None:
             out = Ex("obj", None, None, members={n: self.single(self.ex(v, scope)) for n, v in q.select})
             shape = "rows"
+            if _has_scalar_subquery(q.select):
+                # they become joins, which keep no order: they are computed before the rows are sorted
+                held = {n: self.fresh("out") for n in out.members}
+                df = df.select("*", *[m.output().alias(held[n]) for n, m in out.members.items()])
+                out = replace(out, members={n: Ex(m.kind, F.col(held[n]), m.dtype) for n, m in out.members.items()})
         if q.order:
             after = Scope(scope.aliases, out, scope.closed)
             columns = [c for e, down in q.order for c in K.sort_columns(self.ex(e, after), down)]
