@@ -139,53 +139,80 @@ def _small_groups(fp: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+
+class _Shard:
+    """A shard's tree, and of each member the first one that its links lead to."""
+
+    def __init__(self, members: np.ndarray):
+        self.members, pairs = members, forest(members)
+        self.tree, self.group = BKTree(members), np.arange(len(members))
+        for i, j in pairs:  # in order of the walk, parents first
+            self.group[j] = self.group[i]
+        self.pairs = np.array(pairs, np.int64).reshape(-1, 2)
+
+    def own(self) -> pa.RecordBatch:
+        return _out(self.members[self.pairs[:, 0]], self.members[self.pairs[:, 1]])
+
+    def search(self, guests: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of other parts' fingerprints: one to each group of members they touch."""
+        for g in guests:
+            near = self.tree.near(int(g))
+            if len(near):
+                near = near[np.unique(self.group[near], return_index=True)[1]]
+                yield _out(np.repeat(g, len(near)), self.members[near])
+
+
+def _whole_shards(fp: np.ndarray, key: np.ndarray, part: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links within shards of which all rows are at hand."""
+    if not len(fp):
+        return
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+    size = np.diff(np.append(start, len(fp)))
+    leaf = (np.add.reduceat(member, start) == size) & (size > 1) & (size <= LEAF)
+    a, b = _small_groups(fp, start[leaf], size[leaf])
+    if len(a):
+        yield _out(fp[a], fp[b])
+    for s, n in zip(start[(size > 1) & ~leaf].tolist(), size[(size > 1) & ~leaf].tolist(), strict=True):
+        inside = member[s : s + n] == 1
+        shard = _Shard(fp[s : s + n][inside])
+        yield shard.own()
+        yield from shard.search(fp[s : s + n][~inside])
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shard, with its members first: links within the shards."""
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    def solve(fp: np.ndarray, key: np.ndarray, part: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
-        size = np.diff(np.append(start, len(fp)))
-        whole = np.add.reduceat(member, start) == size
-        leaf = whole & (size > 1) & (size <= LEAF)
-        a, b = _small_groups(fp, start[leaf], size[leaf])
-        if len(a):
-            yield out(fp[a], fp[b])
-        for s, n in zip(start[(size > 1) & ~leaf].tolist(), size[(size > 1) & ~leaf].tolist(), strict=True):
-            own = fp[s : s + n][member[s : s + n] == 1]
-            pairs = forest(own)
-            if pairs:
-                x = np.array(pairs)
-                yield out(own[x[:, 0]], own[x[:, 1]])
-            guests = fp[s : s + n][member[s : s + n] == 0]
-            if len(guests) and len(own):
-                group = np.arange(len(own))  # of a member: the first member its links lead to
-                for i, j in pairs:  # found in order of the walk, parents first
-                    group[j] = group[i]
-                tree = BKTree(own)
-                for g in guests:
-                    near = tree.near(int(g))
-                    if len(near):
-                        near = near[np.unique(group[near], return_index=True)[1]]
-                        yield out(np.repeat(g, len(near)), own[near])
+    """Of rows sorted by shard, with its members first: links within the shards.
 
+    At most a batch and the members of one shard are held: once a shard's members are complete, its
+    guests are searched for as they come.
+    """
     held: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
+    still: tuple[int, int, _Shard] | None = None
     for b in batches:
         more = [b.column("fp").to_numpy().view(np.uint64), b.column("key").to_numpy(), b.column("part").to_numpy(), b.column("member").to_numpy()]
-        held = [np.concatenate(x) for x in zip(held, more, strict=True)]
-        fp, key, part, member = held
+        if still is not None:
+            other = np.flatnonzero((more[1] != still[0]) | (more[2] != still[1]))
+            n = int(other[0]) if len(other) else len(more[0])
+            yield from still[2].search(more[0][:n])
+            more = [x[n:] for x in more]
+            if len(other):
+                still = None
+        fp, key, part, member = held = [np.concatenate(x) for x in zip(held, more, strict=True)]
         if not len(fp):
             continue
-        # the last group may go on in the next batch
         last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from solve(fp[:cut], key[:cut], part[:cut], member[:cut])
-            held = [x[cut:] for x in held]
-    if len(held[0]):
-        yield from solve(*held)
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last shard may go on in the next batch
+        yield from _whole_shards(*[x[:cut] for x in held])
+        held = [x[cut:] for x in held]
+        if held[3][-1] == 0:
+            inside = held[3] == 1
+            still = int(held[1][-1]), int(held[2][-1]), _Shard(held[0][inside])
+            yield still[2].own()
+            yield from still[2].search(held[0][~inside])
+            held = [x[:0] for x in held]
+    yield from _whole_shards(*held)
 
 
 def shard_keys(fp: Column) -> Column:
