@@ -323,8 +323,6 @@ class Lowerer:
 
         if r.arg is None:
             return Ex("num", F.count(F.lit(1)) if where is None else F.count_if(where), T.LongType())
-        if isinstance(r.arg, ast.Subquery) and not self.is_scalar(r.arg.query):
-            raise QueryError("a subquery in a reducer must give one value: aggregate it, or limit it to 1", r.position)
         e = self.ex(r.arg, rows)
         if r.op == "count":
             if e.many:
@@ -373,6 +371,39 @@ class Lowerer:
             return replace(e, **{k: self.substitute(v, lets) for k, v in vars(e).items() if isinstance(v, ast.Node | tuple)})
         return tuple(self.substitute(x, lets) for x in e) if isinstance(e, tuple) else e
 
+    def hoist(self, e: object, df: DataFrame, aliases: dict[str, Ex]) -> tuple[object, DataFrame]:
+        """Reducers over subqueries: each subquery is reduced for every row first, as a column, and the rows' results are then reduced."""
+        if isinstance(e, ast.Reducer) and isinstance(e.arg, ast.Subquery):
+            scope = Scope(aliases, None)
+
+            def column(op: str) -> ast.Path:
+                nonlocal df
+                inner, value = self.subquery(e.arg.query, scope, as_json=True)
+                one = Lowerer(self.catalog, self.params).reduce(ast.Reducer(op, ast.Path(None)), Scope({}, None, reducers={"where": None, "row": value}))
+                name = self.fresh("sub")
+                df = df.withColumn(name, inner.select(one.col.alias("v")).scalar())
+                aliases[name] = K.typed(F.col(name), one.dtype)
+                return ast.Path(name)
+
+            if e.op == "avg":
+                return ast.Binary("/", ast.Reducer("sum", column("sum")), ast.Reducer("sum", column("count"))), df
+            if e.op == "count":
+                return ast.Reducer("sum", column("count")), df
+            return ast.Reducer(e.op, column(e.op)), df
+        if isinstance(e, ast.Node) and not isinstance(e, ast.Subquery):
+            changed = {}
+            for k, v in vars(e).items():
+                if isinstance(v, ast.Node | tuple):
+                    changed[k], df = self.hoist(v, df, aliases)
+            return replace(e, **changed), df
+        if isinstance(e, tuple):
+            out = []
+            for x in e:
+                x, df = self.hoist(x, df, aliases)
+                out.append(x)
+            return tuple(out), df
+        return e, df
+
     # --- the query
 
     def query(self, q: ast.Query, outer: dict[str, Ex] | None = None) -> tuple[Lowered, Ex]:
@@ -423,7 +454,11 @@ class Lowerer:
             self.steps.append("distinct")
         shape, keys = "rows", []
         if q.aggregate is not None:
-            df, row, keys = self.aggregate(df, q.aggregate, scope, lets)
+            block = q.aggregate
+            if _has_scalar_subquery(block.items):
+                items, df = self.hoist(block.items, df, aliases)
+                block = replace(block, items=items)
+            df, row, keys = self.aggregate(df, block, scope, lets)
             shape = "rows" if q.aggregate.keys else "items"
             scope = Scope(aliases, row if q.aggregate.keys else K.absent(), closed=True)
             self.steps.append("aggregate")

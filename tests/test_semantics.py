@@ -127,6 +127,7 @@ VALUES = {
         {"t": "s", "o": {"v": "s", "l": ["a", None]}}, {"t": False, "o": {"v": 1, "l": ["b", None]}}, {"t": False, "o": {"v": None, "l": ["g", None]}}],
     "from .mixed[] as m select { n: length(m.v) }": [{"n": x} for x in (1, None, None, 0, 2, 1, 0)],
     "from .customers[] as c select { id: c.id, n: (from .purchases[] as p where p.cust == c.id aggregate { n: count() }), t: (from .purchases[] as p where p.cust == c.id aggregate { t: sum(p.total) }) }": [{"id": 1, "n": 2, "t": 30}, {"id": 2, "n": 0, "t": None}, {"id": 3, "n": 1, "t": None}],
+    "from .customers[] as c aggregate { t: sum((from .purchases[].total as p where (from .customers[] as d where d.id == 99) exists or p >= c.id)), n: count((from .purchases[].total as p where p >= c.id)), m: avg((from .purchases[].total as p where p >= c.id)), h: max((from .purchases[].total as p)) }": [90, 6, 15, 20],
     "from .catalog.loans[] as l join .catalog.books[] as b on b.id == l.book_id select { l: l.id, a: b.author }": [{"l": "l1", "a": "ann"}, {"l": "l2", "a": "bob"}, {"l": "l3", "a": "ann"}, {"l": "l4", "a": "nil"}],
     "from .catalog.loans[] as l left join .catalog.books[] as b on l.book_id == b.id where b == null or b.on == false select { l: l.id, a: b.author, b: b }": [{"l": "l2", "a": "bob", "b": {"author": "bob", "id": "b2", "on": False, "shelf": 2}}, {"l": "l5", "a": None, "b": None}, {"l": "l6", "a": None, "b": None}],
     "from .catalog.loans[] as l join .catalog.books[] as b on b.id == l.book_id and b.shelf == l.days.renewed aggregate { n: count() }": [1],
