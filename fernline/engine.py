@@ -77,6 +77,13 @@ class Engine:
             out += lowered.df._jdf.queryExecution().explainString(lowered.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return out
 
+    @staticmethod
+    def progress(spark: SparkSession) -> tuple[int, int]:
+        """Finished and all tasks of the stages that are running now."""
+        tracker = spark.sparkContext.statusTracker()
+        infos = [i for s in tracker.getActiveStageIds() if (i := tracker.getStageInfo(s)) is not None]
+        return sum(i.numCompletedTasks for i in infos), sum(i.numTasks for i in infos)
+
     @staticmethod
     def format(text: str) -> str:
         return format_query(text)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .engine import Engine
 from .plans import kinds as K
-from .sinks.emit import kind, plain
+from .sinks.emit import kind
 
 SAMPLE = 5000
 #: A projection is a table if it has two rows, two fifths of them objects, and its commonest field is in three fifths of those.
@@ -65,23 +65,62 @@ def _any(parts: list[Column]) -> Column | None:
     return out
 
 
-def children(engine: Engine, path: str = ".", offset: int = 0, limit: int = 100) -> list[dict]:
-    """A page of the children of the value at a path: path, key or index, kind, number of children, and the value if it is no container."""
+def _kind_label(v: Column) -> Column:
+    t = K.tag(v)
+    return F.when(t == "VOID", "null").when(t == "STRING", "string").when(t == "BOOLEAN", "bool").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
+
+
+def _value_at(engine: Engine, path: str) -> DataFrame | None:
+    """One row with the VARIANT ``v`` at a path; None for the root of a catalog of tables."""
+    if path == "." and engine.catalog.document is None:
+        return None
     lowered = engine.lower(f"from {path} as node limit 1")
-    row = lowered.df.first()
-    if row is None:
-        return []
-    names = row.__fields__
     if lowered.shape == "value":
-        value = plain(row[0])
-    else:
-        value = {n: plain(v) for n, v in zip(names, row, strict=True)}
-    items = list(value.items()) if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
-    base = "" if path == "." else path
-    return [
-        {"path": member_path(base, k), "key": k, "kind": kind(v), "children": len(v) if isinstance(v, dict | list) else 0, "value": None if isinstance(v, dict | list) else v}
-        for k, v in items[offset : offset + limit]
-    ]
+        f = lowered.df.schema[0]
+        return lowered.df.select(K.variant(K.typed(F.col(f"`{f.name}`"), f.dataType)).alias("v"))
+    return lowered.df.select(F.call_function("to_variant_object", F.struct(*[F.col(f"`{c}`") for c in lowered.df.columns])).alias("v"))
+
+
+def _entries(v: Column) -> Column:
+    """Members of a container as array<struct<key, value>>, keys null in arrays."""
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return F.coalesce(items, fields, F.expr("cast(array() as array<struct<key:string,value:variant>>)"))
+
+
+def _count(v: Column) -> Column:
+    return F.size(_entries(v))
+
+
+def children(engine: Engine, path: str = ".", offset: int = 0, limit: int = 100) -> list[dict]:
+    """A page of the children of the value at a path: path, key or index, kind, number of children, and the value if it is no container.
+
+    The page is cut on the executors; only its rows come to the driver.
+    """
+    at = _value_at(engine, path)
+    if at is None:
+        tables = sorted(engine.catalog.tables)[offset : offset + limit]
+        return [{"path": member_path("", n), "key": n, "kind": "array", "children": engine.catalog.tables[n].frame.count(), "value": None} for n in tables]
+    page = at.select(F.posexplode(F.slice(_entries(F.col("v")), offset + 1, max(limit, 0))).alias("pos", "e")).select("pos", "e.key", F.col("e.value").alias("value"))
+    kind_of = _kind_label(F.col("value"))
+    rows = page.select("pos", "key", kind_of.alias("kind"), _count(F.col("value")).alias("children"), F.when(~kind_of.isin("array", "object"), F.to_json("value")).alias("text")).collect()
+    base, out = "" if path == "." else path, []
+    for r in sorted(rows, key=lambda r: r["pos"]):
+        key = r["key"] if r["key"] is not None else offset + r["pos"]
+        out.append({"path": member_path(base, key), "key": key, "kind": r["kind"], "children": r["children"], "value": None if r["text"] is None else json.loads(r["text"])})
+    return out
+
+
+def node(engine: Engine, path: str) -> dict | None:
+    """Kind, number of children, bytes of JSON text and parent path of the value at a path; None if there is none."""
+    at = _value_at(engine, path)
+    if at is None:
+        return {"path": path, "kind": "object", "children": len(engine.catalog.tables), "bytes": None, "parent": None}
+    r = at.select(_kind_label(F.col("v")).alias("kind"), _count(F.col("v")).alias("children"), F.octet_length(F.to_json("v")).alias("bytes")).first()
+    if r is None:
+        return None
+    parent = re.sub(r'(\.[A-Za-z_][A-Za-z0-9_]*|\[-?\d+\]|\.?\["(?:[^"\\]|\\.)*"\])$', "", path)
+    return {"path": path, **r.asDict(), "parent": None if path == "." else parent or "."}
 
 
 def kind_counts(engine: Engine, path: str) -> dict[str, int]:
@@ -93,8 +132,7 @@ def kind_counts(engine: Engine, path: str) -> dict[str, int]:
     e = K.typed(F.col(f"`{f.name}`"), f.dataType)
     names = {"str": "string", "num": "number", "arr": "array", "obj": "object", "bool": "bool", "null": "null"}
     if e.kind == "any":
-        t = K.tag(e.col)
-        label = F.when(t == "VOID", "null").when(t == "STRING", "string").when(t == "BOOLEAN", "bool").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
+        label = _kind_label(e.col)
     else:
         label = F.when(e.col.isNull(), "null").otherwise(names[e.kind])
     return {r["kind"]: r["count"] for r in lowered.df.groupBy(label.alias("kind")).count().collect()}

@@ -5,6 +5,8 @@ A table ``orders`` is the array at ``.orders[]``. A JSON document contributes it
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -97,6 +99,23 @@ class Catalog:
             raise QueryError("the document is empty")
         return Catalog(document=spark.createDataFrame([(text,)], "t string").select(F.parse_json("t").alias("doc")))
 
+    @staticmethod
+    def cached_json(spark: SparkSession, path: str, cache: str) -> Catalog:
+        """A JSON document by way of a Parquet copy in the folder ``cache``, made anew when the file's size or time has changed."""
+        stat = os.stat(path)
+        key = hashlib.sha256(f"{os.path.abspath(path)}|{stat.st_size}|{stat.st_mtime_ns}".encode()).hexdigest()[:24]
+        folder = os.path.join(cache, key)
+        marker = os.path.join(folder, "tables.json")
+        if not os.path.exists(marker):
+            made = Catalog.json(spark, path).convert(folder)
+            listed = {n: [t.order, t.element] for n, t in made.tables.items()}
+            with open(marker + ".new", "w", encoding="utf-8") as f:
+                json.dump(listed, f)
+            os.replace(marker + ".new", marker)
+        with open(marker, encoding="utf-8") as f:
+            listed = json.load(f)
+        return Catalog({n: Table(spark.read.parquet(os.path.join(folder, f"{n}.parquet")), *how) for n, how in listed.items()})
+
     def convert(self, folder: str) -> Catalog:
         """Write every table as Parquet once and return a catalog of the copies: columnar, splittable and typed as loaded.
 

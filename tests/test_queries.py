@@ -109,6 +109,15 @@ def test_typed_json_and_conversion(spark, file, tmp_path):
     assert Engine(large).run("from .items[].tags[] as t").rows == ["x"]
 
 
+def test_cached_copy_follows_the_file(spark, tmp_path):
+    path, cache = tmp_path / "d.json", str(tmp_path / "cache")
+    path.write_text('{"a": [1, 2]}')
+    assert Engine(Catalog.cached_json(spark, str(path), cache)).run("from .a[] as x").rows == [1, 2]
+    assert Engine(Catalog.cached_json(spark, str(path), cache)).run("from .a[] as x").rows == [1, 2] and len(os.listdir(cache)) == 1
+    path.write_text('{"a": [1, 2, 3]}')
+    assert Engine(Catalog.cached_json(spark, str(path), cache)).run("from .a[] as x").rows == [1, 2, 3]
+
+
 def test_broken_json(spark, tmp_path):
     bad = tmp_path / "bad.json"
     bad.write_text('{ "key": }')
@@ -124,6 +133,13 @@ def test_explore(spark, file):
     assert [(c["path"], c["kind"], c["children"]) for c in explore.children(engine)] == [(".items", "array", 3), ('.["weird key"]', "object", 1)]
     assert [c["path"] for c in explore.children(engine, ".items[1]")] == [".items[1].id", ".items[1].name", ".items[1].w"]
     assert explore.children(engine, ".items", 1, 1)[0]["key"] == 1
+    assert explore.children(engine, ".items[0]")[1] == {"path": ".items[0].name", "key": "name", "kind": "string", "children": 0, "value": "Ärger"}
+    assert explore.children(engine, ".items[0].id") == [] and explore.children(engine, ".nope") == []
+    got = explore.node(engine, ".items[1]")
+    assert (got["kind"], got["children"], got["parent"]) == ("object", 3, ".items") and explore.node(engine, '.["weird key"]')["parent"] == "." and explore.node(engine, ".nope") is None
+    tables = Engine.parquet(spark, SF, ["region", "nation"])
+    assert [(c["path"], c["children"]) for c in explore.children(tables)] == [(".nation", 25), (".region", 5)] and explore.node(tables, ".")["children"] == 2
+    assert Engine.progress(spark) == (0, 0)
     assert explore.kind_counts(engine, ".items[].w") == {"number": 1}
     assert explore.sample_keys(engine, "from .items[] as i") == ["id", "name", "tags", "w"]
     assert explore.sample_kinds(engine, "from .items[].tags as t") == ["array"]
