@@ -56,7 +56,7 @@ class Model:
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
         k = len(self.languages)
-        self.words = self._table([counts[lang] for lang in self.languages], WORDS_PER_LANGUAGE)
+        self.words = self._table([counts[lang] for lang in self.languages])
         self.grams = {}
         for n in LENGTHS:
             each = []
@@ -67,17 +67,16 @@ class Model:
                     for i in range(len(framed) - n + 1):
                         c[framed[i : i + n]] += times
                 each.append(dict(c.most_common(NGRAMS_PER_LANGUAGE)))
-            self.grams[n] = self._table(each, NGRAMS_PER_LANGUAGE)
-        self.zero = np.zeros(k, np.float32)
+            self.grams[n] = self._table(each)
+        self.zero = (0.0,) * k
 
-    def _table(self, counts: list[dict[str, int]], most: int) -> dict[str, np.ndarray]:
-        k = len(counts)
+    def _table(self, counts: list[dict[str, int]]) -> dict[str, tuple[float, ...]]:
         keys = set().union(*counts) if counts else set()
         totals = [sum(c.values()) for c in counts]
         size = max(1, len(keys))
-        return {w: np.array([math.log((counts[i].get(w, 0) + 0.1) / (totals[i] + 0.1 * size)) for i in range(k)], np.float32) for w in keys}
+        return {w: tuple(math.log((c.get(w, 0) + 0.1) / (n + 0.1 * size)) for c, n in zip(counts, totals, strict=True)) for w in keys}
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> tuple[float, ...]:
         """Scores of a word by language: its own if any language knows it, else of its longest known n-grams (their mean)."""
         found = self.words.get(w)
         if found is not None:
@@ -85,9 +84,9 @@ class Model:
         framed = f" {w} "
         for n in LENGTHS:
             grams = self.grams[n]
-            known = [grams[g] for i in range(len(framed) - n + 1) if (g := framed[i : i + n]) in grams]
+            known = [s for i in range(len(framed) - n + 1) if (s := grams.get(framed[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0, dtype=np.float32)
+                return tuple([sum(x) / len(known) for x in zip(*known, strict=True)])
         return self.zero
 
 
