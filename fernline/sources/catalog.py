@@ -9,7 +9,9 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,20 @@ from ..errors import QueryError
 WHOLE_BYTES = 64 << 20
 
 
-@dataclass
 class Table:
-    """Rows of a path. ``order``: a column whose order is the document's; ``element``: the rows are single values in this column."""
+    """Rows of a path. ``order``: a column whose order is the document's; ``element``: the rows are single values in this column.
+
+    ``frame`` may be given as a function, which is called when a query first needs the table.
+    """
+
+    def __init__(self, frame: DataFrame | Callable[[], DataFrame], order: str | None = None, element: str | None = None):
+        self._frame, self.order, self.element = frame, order, element
 
-    frame: DataFrame
-    order: str | None = None
-    element: str | None = None
+    @property
+    def frame(self) -> DataFrame:
+        if not isinstance(self._frame, DataFrame):
+            self._frame = self._frame()
+        return self._frame
 
 
 @dataclass
@@ -53,7 +62,7 @@ class Catalog:
             names = sorted(m[1] for s in fs.listStatus(path) if (m := re.fullmatch(r"(.+)\.parquet", s.getPath().getName())))
         out = Catalog()
         for n in names:
-            out.add(n, spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet"), (order or {}).get(n))
+            out.tables[n] = Table(partial(spark.read.parquet, f"{folder.rstrip('/')}/{n}.parquet"), (order or {}).get(n))
         return out
 
     @staticmethod
