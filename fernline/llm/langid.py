@@ -68,25 +68,26 @@ class Model:
                         c[framed[i : i + n]] += times
                 each.append(dict(c.most_common(NGRAMS_PER_LANGUAGE)))
             self.grams[n] = self._table(each)
-        self.zero = (0.0,) * k
+        self.zero = np.zeros(k, np.float32)
 
-    def _table(self, counts: list[dict[str, int]]) -> dict[str, tuple[float, ...]]:
+    def _table(self, counts: list[dict[str, int]]) -> dict[str, bytes]:
+        """Scores by language, packed as 32-bit floats: a quarter of the memory of a tuple in every worker."""
         keys = set().union(*counts) if counts else set()
         totals = [sum(c.values()) for c in counts]
         size = max(1, len(keys))
-        return {w: tuple(math.log((c.get(w, 0) + 0.1) / (n + 0.1 * size)) for c, n in zip(counts, totals, strict=True)) for w in keys}
+        return {w: np.array([math.log((c.get(w, 0) + 0.1) / (n + 0.1 * size)) for c, n in zip(counts, totals, strict=True)], np.float32).tobytes() for w in keys}
 
-    def word(self, w: str) -> tuple[float, ...]:
+    def word(self, w: str) -> np.ndarray:
         """Scores of a word by language: its own if any language knows it, else of its longest known n-grams (their mean)."""
         found = self.words.get(w)
         if found is not None:
-            return found
+            return np.frombuffer(found, np.float32)
         framed = f" {w} "
         for n in LENGTHS:
             grams = self.grams[n]
             known = [s for i in range(len(framed) - n + 1) if (s := grams.get(framed[i : i + n])) is not None]
             if known:
-                return tuple([sum(x) / len(known) for x in zip(*known, strict=True)])
+                return np.frombuffer(b"".join(known), np.float32).reshape(len(known), -1).sum(axis=0) / len(known)
         return self.zero
 
 
