@@ -59,6 +59,12 @@ def _has_scalar_subquery(node: object, bare: bool = True) -> bool:
     return isinstance(node, tuple) and any(_has_scalar_subquery(v, bare) for v in node)
 
 
+def _has(node: object, kind: type) -> bool:
+    if isinstance(node, kind):
+        return True
+    return any(_has(v, kind) for v in (vars(node).values() if isinstance(node, ast.Node) else node if isinstance(node, tuple) else ()))
+
+
 def _aliases(node: object, known: set[str]) -> set[str]:
     return {a for a in known if _refers(node, a)}
 
@@ -74,6 +80,7 @@ class Lowerer:
     def __init__(self, catalog: Catalog, params: dict[str, object] | None = None, ordered: bool = False, observe: bool = False):
         self.catalog, self.params, self.ordered = catalog, params or {}, ordered
         self.counter = 0
+        self.declared = False  # whether the last source has a column for its order
         self.sources: list[DataFrame] = []
         self.steps: list[str] = []
 
@@ -93,6 +100,7 @@ class Lowerer:
         table = self.catalog.tables.get(segments[0].name) if segments and isinstance(segments[0], ast.Field) else None
         if table is not None and len(segments) > 1 and isinstance(segments[1], ast.Iterate):
             df, rest = table.frame, segments[2:]
+            self.declared = table.order not in (None, "__pos")
             if table.order is not None:
                 orders = [table.order]
             elif need_order:
@@ -409,8 +417,11 @@ class Lowerer:
     def query(self, q: ast.Query, outer: dict[str, Ex] | None = None) -> tuple[Lowered, Ex]:
         """The DataFrame of a query and the value of a row of it."""
         stateful = q.distinct is not None and (q.distinct or q.joins or q.unnests) or q.collect is not None or q.limit is not None and not q.order and q.aggregate is None
-        need_order = bool(stateful) or self.ordered
+        # Rows of one source come in its order by themselves, as long as nothing moves them and no column is declared to give the order.
+        moved = bool(q.joins or q.order or q.limit is not None or q.distinct is not None) or _has(q, ast.Subquery)
+        need_order = bool(stateful) or self.ordered and moved
         df, row, orders = self.source(q.path, q.alias, need_order)
+        in_order = not moved and not self.declared
         from_columns = list(df.columns)
         aliases: dict[str, Ex] = {**(outer or {})}
         self.bind(aliases, q.alias, row, q.path.position)
@@ -488,7 +499,7 @@ class Lowerer:
         elif keys and self.ordered and not outer:
             if not (q.aggregate is not None and q.aggregate.rollup):
                 df = df.orderBy(*[c for k in keys for c in K.canonical_sort(row.members[k] if row.members else Ex("any", F.col(k)))]) if q.collect is None else df.orderBy(*keys)
-        elif orders and q.aggregate is None and q.collect is None and (self.ordered or q.limit is not None) and not outer:
+        elif orders and q.aggregate is None and q.collect is None and (self.ordered and not in_order or q.limit is not None) and not outer:
             df = df.orderBy(*orders)
         if q.limit is not None:
             df = df.limit(q.limit)
