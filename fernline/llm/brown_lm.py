@@ -173,6 +173,24 @@ def _score(head: dict[bytes, int], base: np.ndarray, known: np.ndarray, of: np.n
     return score
 
 
+def head_words(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD words of at least HEAD_COUNT occurrences, from the most frequent on, whole bands of counts at a time.
+
+    The bands (sixteen to a doubling) are sized first, so that no more than the head comes to the driver, however
+    many partitions the vocabulary has.
+    """
+    often = vocabulary.where(F.col("c") >= HEAD_COUNT).withColumn("band", F.floor(F.log2("c") * 16))
+    least, total = None, 0
+    for r in sorted(often.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["band"]):
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = r["band"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in often.where(F.col("band") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def class_lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of ``docs`` (doc_id, text).
 
@@ -182,7 +200,7 @@ def class_lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     train = rows.where(~F.col("held_out")).select("text")
     vocabulary = durable(train.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r["word"]), r["c"]) for r in vocabulary.where(F.col("c") >= HEAD_COUNT).orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    top = head_words(vocabulary)
     head = {w: i for i, (w, _) in enumerate(top)}
     counts = np.array([c for _, c in top], np.float64)
     rare = len(top)
