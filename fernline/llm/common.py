@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: For each open scratch(), the tables written inside it.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that durable() writes inside are removed at the end, but for those written with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
     Unlike an RDD checkpoint the copy is columnar, prunes columns, and has a size that the
     planner knows. Any executor can be lost afterwards without recomputing what went before.
+    With ``keep`` the table outlives the scratch() it is written in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fernline-{uuid.uuid4().hex}"
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, row_key, small
+from .common import ascii_lower, durable, row_key, scratch, small
 
 WINDOW = 10
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,7 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) in which no window of the benchmark occurs."""
     key = row_key(F.col("doc_id"), F.col("text"))
-    hit = durable(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("key")).distinct())
+    with scratch(docs.sparkSession):  # the index goes when the decisions are written
+        found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, window)
+        hit = durable(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), keep=True)
     return docs.select(F.struct("*").alias("row"), key.alias("key")).join(small(hit, BROADCAST_DOCS // 10), "key", "left_anti").select("row.*")
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key
+from .common import durable, row_key, scratch, small
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -36,6 +36,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: The most fingerprints of one tree.
 SHARD_ROWS = 100_000
+#: Most keys of removed rows (counted) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: A node with so few fingerprints below it keeps them as a list.
 LEAF = 48
 #: Bits are summed over so many shingles at a time.
@@ -259,11 +261,15 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     A group without ids keeps the text with the least digest; of rows that repeat an id one stays.
     """
-    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    prints = durable(with_fingerprints(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), "doc_id", "key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key"))
-    kept = durable(prints.join(fingerprint_groups(prints), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("key")).distinct())
-    stay = rows.join(kept, "key", "left_semi")
-    if prints.groupBy("key").count().where("count > 1").limit(1).count():
+    key = row_key(F.col("doc_id"), F.col("text")).alias("key")
+    with scratch(docs.sparkSession):
+        prints = durable(with_fingerprints(docs.select("doc_id", key, "text"), "doc_id", "key"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key"))
+        kept = durable(prints.join(fingerprint_groups(prints), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("key")).distinct())
+        repeated = prints.groupBy("key").count().where("count > 1").limit(1).count()
+        # The keys that go are far fewer than those that stay, so the texts needn't be shuffled for them as long as they are few.
+        gone = durable(prints.select("key").distinct().join(kept, "key", "left_anti"), keep=True)
+    stay = docs.select(F.struct("*").alias("row"), key).join(small(gone, BROADCAST_KEYS), "key", "left_anti")
+    if repeated:
         stay = stay.dropDuplicates(["key"])
     return stay.select("row.*")
