@@ -77,5 +77,6 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """A key for joining decisions back to rows: the id, or the text's digest where the id is null."""
-    return F.when(doc_id.isNotNull(), F.concat(F.lit("i"), doc_id.cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    """A key for joining decisions back to rows: the id and the text's digest, so that different texts of one id are told apart."""
+    given = F.when(doc_id.isNotNull(), F.concat(F.lit("i"), doc_id.cast("string"))).otherwise(F.lit("n"))
+    return F.concat(given, F.lit(":"), F.coalesce(F.sha2(text.cast("string"), 256), F.lit("")))

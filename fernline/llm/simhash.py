@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates of ``docs`` (doc_id, text and any others): the one with the least doc_id.
 
-    A group without ids keeps the text with the least digest; of rows that repeat an id one stays.
+    Of texts that share that id, and in a group without ids, the one with the least digest stays; of rows that
+    repeat both id and text, one.
     """
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
     with scratch(docs.sparkSession):

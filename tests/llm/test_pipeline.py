@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from fernline.llm import queries
+from fernline.llm import decontaminate, queries, simhash
 
 from . import brute
 
@@ -60,3 +60,17 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).where("shard between 0 and 23").count() > 100
     assert set(queries.queries()) == {f.__name__ for f in (queries.op1_url_filters, queries.op2_pii, queries.op3_brown_lm, queries.op4_decontaminate, queries.op5_mpeg_audio, queries.op6_langid, queries.op7_simhash, queries.op8_mix_sources, queries.op9_token_counts, queries.op10_shard_tree)}
+
+
+def test_different_texts_of_one_id(spark):
+    shared = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [
+        (3, shared), (5, shared), (5, "nothing in common with the other text of this id"), (5, "a third and quite different story about ships"),
+        (6, "one two three four five six seven eight nine ten eleven"), (6, "a clean text that stands beside a contaminated one"), (None, "a clean text without an id"), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in simhash.without_near_duplicates(docs.unionByName(docs)).collect())
+    assert kept == Counter(r for r in rows if r != (5, shared))
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    clean = Counter(tuple(r) for r in decontaminate.without_contaminated(docs, bench).collect())
+    assert clean == Counter(r for r in rows if not (r[1] or "").startswith("one two"))
