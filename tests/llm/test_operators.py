@@ -316,3 +316,20 @@ def test_token_counts(spark, docs, rows):
             assert got[i] in (exact, -1) and token_counts.tokens_at(path, t, i) == exact
     one = token_counts.count_tokens(spark.createDataFrame([(1, "a b  c")], "doc_id long, text string"), path, limit=2, prefixes=True).first()
     assert one.over_limit and len(model.encode("a b  c"[: one.fits_chars])) <= 2 and one.prefix_tokens == [len(model.encode("a b  c"[:i])) for i in range(7)]
+
+
+def test_token_counts_inside_long_chunks(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path(token_counts.MODEL))
+    model, table, rng = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Counts(path), random.Random(3)
+    assert table.merges
+    texts = ["".join(rng.choices(a, k=300)) for a in ("abcdefghinrst", "ABCabc0123+/", "日本語中文字漢執梦ゼ", "é😀x▁a", "eE= \n", "x")]
+    texts.append("".join(rng.choice([*table.scores]).replace("▁", "") for _ in range(100)))
+    for t in texts:
+        exact = [len(model.encode(t[:i])) for i in range(len(t) + 1)]
+        assert table.prefixes(t).tolist() == exact
+        for limit in (3, 50):
+            r = token_counts.count_tokens(spark.createDataFrame([(1, t)], "doc_id long, text string"), path, limit=limit).first()
+            assert r.n_tokens == exact[-1] and r.fits_chars == max(i for i, k in enumerate(exact) if k <= limit)
