@@ -122,6 +122,9 @@ QUERIES: dict[str, tuple[str, str, dict]] = {
     "exists_in_select": (
         "from .customer[] as c where c.c_custkey < 200 select { k: c.c_custkey, big: (from .orders[] as o where o.o_custkey == c.c_custkey and o.o_totalprice > 400000) exists }",
         "SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS big FROM customer WHERE c_custkey < 200", {}),
+    "exists_in_select_all": (
+        "from .customer[] as c select { k: c.c_custkey, big: (from .orders[] as o where o.o_custkey == c.c_custkey and o.o_totalprice > 400000) exists }",
+        "SELECT c_custkey AS k, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS big FROM customer", {}),
     "exists_or": (
         "from .customer[] as c where c.c_acctbal > 9000 or (from .orders[] as o where o.o_custkey == c.c_custkey and o.o_totalprice > 450000) exists select { k: c.c_custkey }",
         "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)", {}),
@@ -155,9 +158,15 @@ QUERIES: dict[str, tuple[str, str, dict]] = {
     "math_functions": (
         "from .lineitem[] as l where l.l_orderkey < 500 select { a: abs(l.l_discount - 0.05), b: floor(l.l_extendedprice), c: ceil(l.l_extendedprice), d: round(sqrt(l.l_quantity), 8), e: pow(l.l_quantity, 2), f: mod(l.l_quantity, 7), g: round(l.l_extendedprice, -2), h: -l.l_quantity }",
         "SELECT abs(l_discount - 0.05) AS a, floor(l_extendedprice) AS b, ceil(l_extendedprice) AS c, round(sqrt(l_quantity), 8) AS d, pow(l_quantity, 2) AS e, fmod(l_quantity, 7) AS f, round(l_extendedprice / 100) * 100 AS g, -l_quantity AS h FROM lineitem WHERE l_orderkey < 500", {}),
+    "math_functions_all": (
+        "from .lineitem[] as l select { a: abs(l.l_discount - 0.05), b: floor(l.l_extendedprice), c: ceil(l.l_extendedprice), d: round(sqrt(l.l_quantity), 8), e: pow(l.l_quantity, 2), f: mod(l.l_quantity, 7), g: round(l.l_extendedprice, -2), h: -l.l_quantity }",
+        "SELECT abs(l_discount - 0.05) AS a, floor(l_extendedprice) AS b, ceil(l_extendedprice) AS c, round(sqrt(l_quantity), 8) AS d, pow(l_quantity, 2) AS e, fmod(l_quantity, 7) AS f, round(l_extendedprice / 100) * 100 AS g, -l_quantity AS h FROM lineitem", {}),
     "arithmetic_null": (
         "from .lineitem[] as l where l.l_orderkey < 500 select { q: round((l.l_extendedprice * (1 - l.l_discount)) / (l.l_linenumber - 1), 4), s: l.l_returnflag + 1 }",
         "SELECT round((l_extendedprice * (1 - l_discount)) / nullif(l_linenumber - 1, 0), 4) AS q, cast(NULL AS double) AS s FROM lineitem WHERE l_orderkey < 500", {}),
+    "arithmetic_null_all": (
+        "from .lineitem[] as l select { q: round((l.l_extendedprice * (1 - l.l_discount)) / (l.l_linenumber - 1), 4), s: l.l_returnflag + 1 }",
+        "SELECT round((l_extendedprice * (1 - l_discount)) / nullif(l_linenumber - 1, 0), 4) AS q, cast(NULL AS double) AS s FROM lineitem", {}),
     "if_truthy": (
         "from .part[] as p select { k: p.p_partkey, v: if(p.p_size > 25, \"large\", \"small\"), t: if(0, 1, 2), m: if(p.p_name is string and not (p.p_size < 10), p.p_size, -1) }",
         "SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS v, cast(1 AS bigint) AS t, CASE WHEN p_size >= 10 THEN p_size::double ELSE -1.0 END AS m FROM part", {}),
@@ -176,6 +185,9 @@ QUERIES: dict[str, tuple[str, str, dict]] = {
     "object_and_array": (
         "from .nation[] as n select { o: { a: n.n_name, b: [n.n_nationkey, n.n_regionkey] } } order by n.n_nationkey limit 5",
         "SELECT {'a': n_name, 'b': [n_nationkey, n_regionkey]} AS o FROM nation ORDER BY n_nationkey LIMIT 5", {}),
+    "object_and_array_all": (
+        "from .nation[] as n select { o: { a: n.n_name, b: [n.n_nationkey, n.n_regionkey] } }",
+        "SELECT {'a': n_name, 'b': [n_nationkey, n_regionkey]} AS o FROM nation", {}),
     "missing_and_null": (
         "from .orders[] as o where not (o.nope == 1) or o.o_orderkey == null or (o.nope exists) or not (o.nope == 1 and true) aggregate { n: count() }",
         "SELECT count(*) AS n FROM orders", {}),
@@ -209,6 +221,13 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "THE ").select("item_id")
 
 
+def text_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the documents."""
+    from .explore import search
+
+    return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "THE ").select("doc_id")
+
+
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     text, _, params = QUERIES[name]
 
@@ -220,7 +239,7 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _run(n) for n in QUERIES} | {"variant_path": variant_path, "descent": descent, "text_search": text_search}
+    return {n: _run(n) for n in QUERIES} | {"variant_path": variant_path, "descent": descent, "text_search": text_search, "text_search_documents": text_search_documents}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -228,4 +247,5 @@ def oracle_sql() -> dict[str, str]:
         "variant_path": "SELECT event_type, count(*) AS n, sum((props->>'$.k')::double) AS total FROM events GROUP BY event_type",
         "descent": "SELECT count(*) AS n, sum((props->>'$.k')::double) AS total FROM events",
         "text_search": "SELECT item_id FROM benchmark WHERE contains(lower(text), 'the ')",
+        "text_search_documents": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the ')",
     }

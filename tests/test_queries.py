@@ -186,3 +186,8 @@ def test_streaming(spark, tmp_path):
 def test_the_rest_works_without_the_optional_operators(tmp_path):
     code = "import sys; sys.modules['fernline.llm'] = None; import __spark_entry__ as e; assert 'top_k' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, timeout=100).returncode == 0
+
+
+@pytest.mark.parametrize("name, table", [("exists_in_select_all", "customer"), ("math_functions_all", "lineitem"), ("arithmetic_null_all", "lineitem"), ("object_and_array_all", "nation")])
+def test_all_rows_are_computed(spark, name, table):
+    assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
