@@ -9,7 +9,7 @@ the common terms, and of those only the ones in documents that still have a plac
 
 Words: runs of the characters other than ASCII punctuation, space and control characters, A-Z
 lower-cased. A window is ``window`` consecutive words of an item; a shorter item that has a word is
-one window. ``max_gap`` > 0 also finds proximity matches (`proximity`).
+one window. `proximity` finds near matches of phrases; `contamination` has exact matches only.
 
 Defined cases: a null text has no words, and an item without words no window; equal windows are
 searched once and count for all their items; a null item_id counts as the empty string; rows of
