@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, one of our own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = spark.conf.get("spark.checkpoint.dir", None) or conf or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fernline-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,6 +62,17 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(b: pa.RecordBatch, column: str, rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and ``most`` bytes in a text column; a row with more is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < b.num_rows:
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right"))
+        last = max(first + 1, min(first + rows, last))
+        yield b.slice(first, last - first)
+        first = last
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` itself is used only where the text is pure ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))

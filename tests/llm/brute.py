@@ -130,3 +130,67 @@ def source_targets(sizes):
         if not over:
             return target | share
         target |= {s: 3 * sizes[s] for s in over}
+
+
+def class_lm(docs, table, seed_classes, classes, seeds, sweeps, backoff):
+    """Log10 probabilities of texts by class bigrams, word by word. ``table``: words by rank; ``seed_classes``: clusters the seeds given their pairs."""
+    END, RARE, width = classes, classes + 1, classes + 2
+    learn = [tokens(t) for d, t in docs if crc_mod(d, 7) != 2]
+    counts = Counter(w for ts in learn for w in ts)
+    bigrams = Counter(p for ts in learn for p in zip([None, *ts[:-1]], ts, strict=True))
+
+    def table_of(of):
+        between = [[0.0] * width for _ in range(width)]
+        for (v, w), n in bigrams.items():
+            between[of.get(v, RARE)][of.get(w, RARE)] += n
+        return between
+
+    def growth(x, n):
+        return n * math.log(x + n) + (x * math.log1p(n / x) if x > 0 else 0.0) if n else 0.0
+
+    def best(w, of, between):
+        left, right = Counter(), Counter()
+        for (a, b), n in beside[w]:
+            if b == w:
+                left[of.get(a, RARE)] += n
+            if a == w:
+                right[of.get(b, RARE)] += n
+        total, own = sum(left.values()), of.get(w, RARE)
+        gains = []
+        for g in range(classes):
+            out = g == own
+            gain = sum(growth(between[c][g] - n * out, n) for c, n in left.items()) + sum(growth(between[g][c] - n * out, n) for c, n in right.items())
+            gains.append(round(gain - growth(sum(between[g]) - total * out, total) - growth(sum(r[g] for r in between) - total * out, total), 6))
+        return gains.index(max(gains))
+
+    beside = defaultdict(list)
+    for (a, b), n in bigrams.items():
+        for w in {a, b}:
+            beside[w].append(((a, b), n))
+    m = min(seeds, len(table))
+    number = {w: i for i, w in enumerate(table[:m])} | {None: m}
+    pairs = [[0.0] * (m + 2) for _ in range(m + 2)]
+    for (v, w), n in bigrams.items():
+        pairs[number.get(v, m + 1)][number.get(w, m + 1)] += n
+    of = {None: END} | {w: int(c) for w, c in zip(table[:m], seed_classes(pairs, m), strict=False)}
+    for _ in range(sweeps):
+        between = table_of(of)
+        of = {None: END} | {w: best(w, of, between) for w in table}
+    between = table_of(of)
+    of = of | {w: best(w, of, between) for w, c in counts.items() if w is not None and c >= 2 and w not in of}
+    between = table_of(of)
+    held = [sum(r[c] for r in between) for c in range(width)]
+    total = sum(held)
+    rare = sum(c + 1 for w, c in counts.items() if w not in of) + 1
+    out = []
+    for d, t in docs:
+        ts, score = tokens(t), 0.0
+        for v, w in zip([None, *ts[:-1]], ts, strict=True):
+            a, b = of.get(v, RARE), of.get(w, RARE)
+            score += math.log10((between[a][b] + backoff * (held[b] + 1) / (total + width)) / (sum(between[a]) + backoff))
+            if b == RARE:
+                score += math.log10((counts[w] + 1) / rare)
+            elif w is not None:
+                score += math.log10(counts[w] / held[b])
+        out.append((d, score))
+    return out

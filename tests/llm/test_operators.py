@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fernline.llm import brown_lm, components, decontaminate, langid, mixing, mpeg_audio, pii, queries, sharding, simhash, token_counts, url_filters
 
@@ -26,8 +27,6 @@ def docs(spark):
     ]
     frame = own.unionByName(spark.createDataFrame(odd, own.schema))
     for clash in ("size", "fp", "key", "rid", "shard", "words", "lang_pred", "row", "n"):
-        from pyspark.sql import functions as F
-
         frame = frame.withColumn(clash, F.lit("clash"))
     return frame.persist()
 
@@ -102,6 +101,51 @@ def test_class_lm_is_a_distribution(spark):
     assert all(0 < got[i] <= 1 for i in ids) and sum(got[i] for i in ids) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("most", [100_000, 60, 0])
+def test_class_lm_against_brute_force(spark, monkeypatch, most):
+    """Scores word by word: with a table of all words, of a part (the rest is placed by shuffles) and of none; many equal counts."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 500").select("doc_id", "text").limit(60).collect()
+    rows = [tuple(r) for r in own] + [(None, None), (7, ""), (900, "a b a b zz"), (901, "a b a b zz"), (901, "a b a b zz"), (902, "b a q1 q2 q1 q2 q3"), (903, "q1 q2 Q3 unseen words here"), (904, "x " * 700)]
+    rows += [(1000 + i, f"w{i % 90} v{(i * 7) % 90} w{i % 90}") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("clash")).withColumn("class", F.lit("clash"))
+    monkeypatch.setattr(brown_lm, "TABLE", most)
+    monkeypatch.setattr(brown_lm, "SEEDS", 30)
+    monkeypatch.setattr(brown_lm, "BUCKET", 16)
+    learned = [brute.tokens(t) for d, t in rows if brute.crc_mod(d, 7) != 2]
+    counts = Counter(w for ts in learned for w in ts if w is not None)
+    number = {int(brown_lm.digests([w.encode()])[0]): w for w in counts}
+    vocabulary = spark.createDataFrame([(i, counts[w]) for i, w in number.items()], "id long, c long")
+    table = [number[int(i)] for i in brown_lm.table_words(vocabulary, most)[0]]
+    assert len(table) == min(most, sum(c >= 2 for c in counts.values())) or most == 60 and 30 < len(table) <= 60
+    seeds = lambda pairs, m: brown_lm.exchange_classes(np.array(pairs), m)[:m]
+    expected = brute.class_lm(rows, table, seeds, brown_lm.CLASSES, 30, brown_lm.SWEEPS, brown_lm.BACKOFF)
+    got = brown_lm.class_lm_scores(docs).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(d), round(x, 6)) for d, x in expected)
+    assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens)) for r in got)
+
+
+def test_best_class_is_the_one_of_greatest_likelihood():
+    """A word's best class is found by trying all: the likelihood of the class bigrams with the word in each."""
+    rng = np.random.default_rng(2)
+    k, width = brown_lm.CLASSES, brown_lm.WIDTH
+    between = rng.integers(1, 4000, (width, width)).astype(float)
+    left, right = rng.integers(0, 9, width), rng.integers(0, 9, width)
+    right[0] += left.sum() - right.sum()
+    left[:k], right[:k] = left[:k] * (np.arange(k) % 2), right[:k] * (1 - np.arange(k) % 2)  # no corner: both neighbours never in one class
+    right[k] += left.sum() - right.sum()
+
+    def likelihood(g):
+        x = between.copy()
+        x[:, g] += left
+        x[g] += right
+        return (x * np.log(np.maximum(x, 1))).sum() - sum((s * np.log(np.maximum(s, 1))).sum() for s in (x.sum(0)[:k], x.sum(1)[:k]))
+
+    column = np.concatenate((np.flatnonzero(left), width + np.flatnonzero(right)))
+    n = np.concatenate((left[left > 0], right[right > 0]))
+    found = brown_lm.best_classes(np.zeros(len(n), int), column, n, np.array([brown_lm.RARE]), between)
+    assert found[0] == max(range(k), key=likelihood)
+
+
 def test_exchange_clustering_finds_groups():
     pairs = np.zeros((7, 7))
     for a in (0, 2, 4):
@@ -283,8 +327,6 @@ def test_sharding(docs, rows):
 
 
 def test_sharding_is_balanced_and_moves_little(spark):
-    from pyspark.sql import functions as F
-
     keys = spark.range(40_000).withColumn("key", F.col("id").cast("string"))
     tree = sharding.shard_tree()
     counts = [r["count"] for r in keys.groupBy(sharding.shard_of(F.col("key"), tree)).count().collect()]
