@@ -194,3 +194,96 @@ def class_lm(docs, table, seed_classes, classes, seeds, sweeps, backoff):
                 score += math.log10(counts[w] / held[b])
         out.append((d, score))
     return out
+
+
+def bootstrapped_spans(docs, rounds, confidence, support, min_digits, long, unknown):
+    """All spans of each text: base ones, and those that patterns discover in a graph of plain dictionaries."""
+    import regex
+
+    kinds = ("email", "ip", "card", "phone")
+    number = r"[0-9]++(?![\p{L}\p{N}_@])"
+    forms = (
+        rf"(?<![\p{{L}}\p{{N}}_@.-])\+?\(?{number}(?:[\x20()./-]{{1,2}}+{number})*+",
+        rf"(?<![\p{{L}}\p{{N}}_@.-])\+?{number}(?:[./-]{number})*+",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
+    )
+
+    def digits(m):
+        return regex.sub("[^0-9]", "", m)
+
+    def places(text):
+        base = [(int(a), int(b), kinds.index(k)) for k, a, b in (s.split(":") for s in pii(text)[5].split(",") if s)]
+        rows = [(a, b, k, k == 0) for a, b, k in base]
+        seen = set()
+        for i, p in enumerate(forms):
+            for m in regex.finditer(p, text):
+                a, b = m.span()
+                if (i == 2 or len(digits(m[0])) >= min_digits) and not any(x < b and a < y for x, y, _ in base) and (a, b) not in seen:
+                    seen.add((a, b))
+                    rows.append((a, b, None, i == 2))
+        out = []
+        for a, b, k, address in rows:
+            m = text[a:b]
+            ip = regex.fullmatch(r"[0-9]+(\.[0-9]+){3}", m)
+            inst = regex.sub(r" ", "", regex.sub(r"\x20?[(\[]at[)\]]\x20?", "@", m.lower())) if address else m if ip else digits(m)
+            family = "a" if address else "n"
+            form = regex.sub("[0-9]+", "9", regex.sub("[a-z]+", "a", m.lower())) if address else regex.sub("[0-9]", "9", m)
+            before, after = regex.search(r"(\p{L}+)[^\p{L}\p{N}]*$", text[:a]), regex.match(r"[^\p{L}\p{N}]*(\p{L}+)", text[b:])
+            # a word that touches a digit before it is no word
+            if before and before.start() and regex.match(r"[\p{L}\p{N}]", text[before.start() - 1]):
+                before = None
+            lead = regex.search("[0-9]", m)
+            part = inst.split("@", 1)[1] if address else m[: lead.end()] + regex.sub("[0-9]", "9", m[lead.end() :])
+            patterns = [(family, s, w[1].lower()) for s, w in (("before", before), ("after", after)) if w] + [(family, "form", form), (family, "part", part)]
+            out.append((a, b, k, inst, bool(address or ip or len(digits(m)) >= long), patterns))
+        return out
+
+    def refuted(inst):
+        if regex.fullmatch("[0-9]{12,19}", inst):
+            return not luhn(inst)
+        return bool(regex.fullmatch(r"[0-9]+(\.[0-9]+){3}", inst)) and any(int(x) > 255 for x in inst.split("."))
+
+    found = [places(t or "") for _, t in docs]
+    seeds, edges = {}, defaultdict(set)
+    for rows in found:
+        for _, _, k, inst, _, patterns in rows:
+            if k is not None:
+                seeds[inst] = min(k, seeds.get(inst, 9))
+            for p in patterns:
+                edges[p].add(inst)
+    accepted, good = {}, {}
+    for _ in range(rounds):
+        new = {}
+        for p, insts in edges.items():
+            word = p[1] in ("before", "after")
+            of = [seeds.get(i, accepted.get(i, (0, None))[1] if word else None) for i in insts]
+            held = sum(k is not None for k in of)
+            weight = round(sum(1.0 if k is not None or refuted(i) or not word else unknown for i, k in zip(insts, of, strict=True)), 6)
+            share, z = held / weight, 1.96**2 / weight
+            sure = round((share + z / 2 - math.sqrt(z * (share * (1 - share) + z / 4))) / (1 + z), 9)
+            if held >= support and sure >= confidence:
+                new[p] = (sure, held, max(range(4), key=lambda k: (of.count(k), -k)))
+        scores = defaultdict(list)
+        for p, x in new.items():
+            for i in edges[p]:
+                if i not in seeds:
+                    scores[i].append(x)
+        accepted = {}
+        for i, xs in scores.items():
+            s = round(1 - math.prod(max(1e-9, 1 - x[0]) for x in xs), 9)
+            if s >= confidence:
+                accepted[i] = (s, max(xs, key=lambda x: (x[0], x[1], -x[2]))[2])
+        if {p: x[2] for p, x in new.items()} == {p: x[2] for p, x in good.items()} and good:
+            break
+        good = new
+    out = []
+    for (d, _), rows in zip(docs, found, strict=True):
+        spans = [(a, k, b) for a, b, k, *_ in rows if k is not None]
+        more = sorted((a, -b, seeds.get(i, accepted.get(i, (0, None))[1])) for a, b, k, i, whole, ps in rows if k is None and (i in seeds or i in accepted) and (whole or any(p in new for p in ps)))
+        reached = 0
+        for a, b, k in more:
+            if a >= reached:
+                spans.append((a, k, -b))
+                reached = -b
+        out.append((d, ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans)), len(spans) - sum(r[2] is not None for r in rows)))
+    return out

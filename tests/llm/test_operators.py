@@ -70,12 +70,67 @@ def test_pii_base(docs, rows):
     assert pii.personal_data(empty(docs)).count() == 0
 
 
+def pii_corpus():
+    """(text, planted spans): seeds with cues on both sides, unseen identifiers behind the same cues, a cue that only discovered ones bring, and look-alikes."""
+    rng, out = random.Random(11), []
+
+    def number(form):
+        return "".join(str(rng.randrange(10)) if c == "9" else c for c in form)
+
+    def row(text, kind=None, found=None):
+        a = text.index(found) if found else 0
+        out.append((text, f"{kind}:{a}:{a + len(found)}" if found else None))
+
+    for i in range(30):
+        row(f"please call +1 (614) 555-{8000 + i} now and then item {i}")
+        row(f"write to person{i}.x@mail{i % 3}.example.com office hours")
+    twice = [number("9999 9999") for _ in range(14)]
+    for i in range(40):
+        unseen = number(["999 555 9999", "(999) 555-9999", "999-999-9999", "99 99 99 99 99", "999.555.9999"][i % 5])
+        row(f"{'x' * (i % 7)} please call{' :'[i % 2]}{unseen} today", "phone", unseen)
+        unseen = f"person{i}(at)site{i}.org" if i % 2 else f"someone{i}@intranet"
+        row(f"write to {unseen} or come", "email", unseen)
+    for t in twice:
+        row(f"then call {t} later", "phone", t)
+        row(f"or ring {t} again", "phone", t)
+    for _ in range(10):
+        unseen = number("9999 9999 99")
+        row(f"so ring {unseen} once", "phone", unseen)
+    for i in range(60):
+        row(f"the order {number('999-999-9999')} came, bill {number('9999')}, {number('9999 9999')} pieces and part {number('99/9999')}")
+    return out
+
+
 def test_pii_discovers_by_context(spark):
-    text = [f"call phone: +1 (614) 555-{8000 + i} now and then {i}" for i in range(30)] + ["your phone: 555-010-7788 is due", "the order 555-010-7788x came", "then 4711 came"]
-    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()}
-    assert found[30] == "phone:12:24"
-    assert found[31] == found[32] == ""
-    assert found[0] == "phone:12:29"
+    corpus = pii_corpus()
+    found = pii.personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in found.collect()}
+    planted = {i: s for i, (_, s) in enumerate(corpus) if s}
+    assert sum(s in got[i].spans.split(",") for i, s in planted.items()) >= 0.9 * len(planted)
+    assert all(got[i].n_added == 0 and got[i].spans == brute.pii(corpus[i][0])[5] for i in got if i not in planted)
+    ring = [i for i, (t, _) in enumerate(corpus) if t.startswith("so ring")]
+    assert all(got[i].n_added == 1 for i in ring)  # no seed ever stands behind that cue
+
+
+def test_pii_spans_against_brute_force(spark, docs, rows):
+    texts = [(d, t) for d, t, _, _ in rows] + [(2_000_000 + i, t) for i, (t, _) in enumerate(pii_corpus())]
+    texts += [(3_000_000 + i, f"card 4{i:04d}56789012345 code {i}, tie +1234567{i:03d} 12.1.1.{i} tie 99.{i}.1.1 +99{i:03d}4567 {'1.' * (i % 7)}") for i in range(40)]
+    texts += [(None, "tie 1234 5678"), (None, "call(at)me [at] x.y@z 5555-55a 1+2345 (12) 34-5 １２３４ ½1234 1234é é1234 1234_ -1234 .1234 12//34 1  2  3 4")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("inst", F.lit("clash")).withColumn("ord", F.lit("clash"))
+    expected = brute.bootstrapped_spans(texts, pii.ROUNDS, pii.CONFIDENCE, pii.SUPPORT, pii.MIN_DIGITS, pii.LONG, pii.UNKNOWN)
+    assert sum(x[2] for x in expected) > 100
+    same(pii.personal_data(frame), expected, ["doc_id", "spans", "n_added"])
+    same(pii.personal_data(frame.repartition(9)), expected, ["doc_id", "spans", "n_added"])
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    import time
+
+    texts = ["".join(f"{i} 12.34.56.{i % 300} a{i}@b " for i in range(100_000 // 3)), "7 " * 100_000, "x@y " * 50_000, "1." * 100_000, "word " * 100_000 + "+12345678901"]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 90
+    assert got[0].n_ip == sum(i % 300 <= 255 for i in range(100_000 // 3)) and got[4].spans == "phone:500000:500012"
 
 
 def test_class_lm(docs, rows):
