@@ -5,12 +5,13 @@ by its character n-grams, from long to short: the longest length at which one of
 is known decides. A text's language has the largest sum of scores.
 
 Fitting takes at most DOCS_PER_LANGUAGE labelled documents of each language, chosen by a digest of
-the id, and keeps the WORDS_PER_LANGUAGE most frequent words of each; these bounds are parameters.
-Prediction reads nothing but the text.
+the id (a bound that is a parameter), and keeps all their words and n-grams. Prediction reads nothing but the text.
 
-Defined cases: null texts and texts without a letter get ``und`` with score 0; without any labelled
-document everything is ``und``; equal texts get equal predictions; an empty table gives an empty
-result; a null label is never learned.
+Defined cases: null texts and texts without a letter (a character of a Unicode letter category; numerals such as ½ or Ⅷ are
+none) get ``und`` with score 0; without any labelled document everything is ``und``; of languages with equal sums the
+first by name wins; equal texts get equal predictions, whatever was read before; texts of any length are read
+whole; an empty table gives an empty result; a null label is never learned; `identify` replaces columns with the names
+of its own and keeps all others.
 """
 
 from __future__ import annotations
@@ -27,13 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-DOCS_PER_LANGUAGE, WORDS_PER_LANGUAGE, NGRAMS_PER_LANGUAGE = 1500, 20_000, 60_000
+DOCS_PER_LANGUAGE = 500
 #: Lengths of n-grams, in the order they are tried; a word is framed by spaces.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker remembers.
 MEMO = 300_000
-#: A text's score is the softmax of its summed log-likelihoods over the square root of its words.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numerals() -> str:
+    """Characters that a pattern takes for a word's, but that are neither letters nor decimal digits."""
+    return "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
+LETTERS = re.compile(rf"[^\W\d_{_other_numerals()}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -66,7 +73,7 @@ class Model:
                     framed = f" {w} "
                     for i in range(len(framed) - n + 1):
                         c[framed[i : i + n]] += times
-                each.append(dict(c.most_common(NGRAMS_PER_LANGUAGE)))
+                each.append(c)
             self.grams[n] = self._table(each)
         self.zero = np.zeros(k, np.float32)
 
@@ -92,7 +99,10 @@ class Model:
 
 
 class Scorer(dict):
-    """word -> row of a growing table of scores; words beyond MEMO are scored and forgotten."""
+    """word -> row of a growing table of scores; words beyond MEMO are scored and forgotten.
+
+    A text's score is the softmax of its summed log-likelihoods over the square root of its words.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
@@ -102,7 +112,7 @@ class Scorer(dict):
         v = self.model.word(w)
         if len(self) >= MEMO:
             self.extra.append(v)
-            return MEMO  # a row of zeros
+            return MEMO
         i = len(self)
         self.rows[i] = v
         self[w] = i
@@ -113,29 +123,31 @@ class Scorer(dict):
         if not words or not self.model.languages:
             return "und", 0.0
         self.extra = []
-        total = self.rows[list(map(self.__getitem__, words))].sum(axis=0, dtype=np.float64)
-        if self.extra:
-            total = total + np.sum(self.extra, axis=0, dtype=np.float64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        scores = self.rows[at]
+        if self.extra:  # in their places, so that the sum doesn't depend on what is remembered
+            scores[at == MEMO] = self.extra
+        total = scores.sum(axis=0, dtype=np.float64)
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         best = int(np.argmax(total))
         return self.model.languages[best], float(p[best] / p.sum())
 
 
-def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> Model:
+def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang); rows with a null text or label are left out."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    draw = F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.lit("langid")), F.lit(1 << 40))
+    draw = F.xxhash64(id_text(F.col("doc_id")), "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model({})
-    # A little more than wanted passes a threshold on the digest; the exact number is cut from that.
+    # A little more than wanted passes a threshold on the digest; copies of a row become one, and the exact number is cut from that.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, (1.2 * docs_per_language + 50) / n)))])
-    some = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= docs_per_language)
+    some = rows.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 40)) < share[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw")
+    some = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
     counted = some.select("lang", "text").mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= words_per_language)
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in top.select("lang", "word", "n").collect():
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in sorted(sizes)}
+    for r in counted.orderBy("lang", "word").collect():  # the words of the sample
         counts[r["lang"]][r["word"]] = r["n"]
     return Model({k: v for k, v in counts.items() if v})
 
@@ -149,7 +161,7 @@ def predictor(docs: DataFrame, model: Model) -> Callable[[Column], Column]:
         if not held:
             held.append(Scorer(shared.value))
         for b in batches:
-            found = [held[0].predict(t.as_py()) for t in b]
+            found = [held[0].predict(t.as_py()) for t in b]  # one text at a time
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

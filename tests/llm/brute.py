@@ -287,3 +287,55 @@ def bootstrapped_spans(docs, rounds, confidence, support, min_digits, long, unkn
                 reached = -b
         out.append((d, ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans)), len(spans) - sum(r[2] is not None for r in rows)))
     return out
+
+
+def languages(labelled, texts, lengths):
+    """(language, score) of each text by word-first backoff; ``labelled``: (text, lang) learned from."""
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+    counts = defaultdict(Counter)
+    for text, lang in labelled:
+        if lang is not None and text is not None:
+            counts[lang].update(words(text))
+    names = sorted(n for n in counts if counts[n])
+
+    def table(per):
+        keys = set().union(*per)
+        totals = [sum(c.values()) for c in per]
+        return {k: [math.log((c.get(k, 0) + 0.1) / (n + 0.1 * max(1, len(keys)))) for c, n in zip(per, totals, strict=True)] for k in keys}
+
+    def pieces(w, n):
+        return [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+
+    known = table([counts[n] for n in names]) if names else {}
+    grams = {}
+    for n in lengths:
+        per = []
+        for name in names:
+            c = Counter()
+            for w, k in counts[name].items():
+                for g in pieces(w, n):
+                    c[g] += k
+            per.append(c)
+        grams[n] = table(per) if names else {}
+
+    def score(w):
+        if w in known:
+            return known[w]
+        for n in lengths:
+            found = [grams[n][g] for g in pieces(w, n) if g in grams[n]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(names)
+
+    out = []
+    for text in texts:
+        ws = words(text)
+        if not ws or not names:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) for x in zip(*[score(w) for w in ws], strict=True)]
+        p = [math.exp((t - max(total)) / math.sqrt(len(ws))) for t in total]
+        out.append((names[p.index(max(p))], max(p) / sum(p)))
+    return out

@@ -284,6 +284,26 @@ def test_langid_cases(docs):
     assert np.array_equal(model.word("zzqqzzqq"), model.word("zzqqzzqq")) and langid.Scorer(model).predict("le la les")[0] == "fr"
 
 
+def test_langid_against_brute_force(spark, docs, rows, monkeypatch):
+    learned = [r for r in rows if brute.crc_mod(r[0], 4) != 2]
+    odd = ["½ ² ①", "Ⅷ", "٣", "ª", "ßx½y", "qqqzzz", "İstanbul", "1a2", "é"]
+    texts = [r[1] for r in rows] + odd
+    expected = brute.languages({(r[0], r[1], r[2]): (r[1], r[2]) for r in learned}.values(), texts, langid.LENGTHS)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("found", F.lit("clash"))
+    model = queries.fitted_languages(docs)
+    for memo in (langid.MEMO, 40):  # what a worker remembers makes no difference
+        scorer = langid.Scorer(model)
+        monkeypatch.setattr(langid, "MEMO", memo)
+        scorer.rows = np.zeros((memo + 1, len(model.languages)), np.float32)
+        again = [scorer.predict(t) for t in texts]
+        assert again == [scorer.predict(t) for t in texts] == [langid.Scorer(model).predict(t) for t in texts]
+        for (lang, p), (want, q) in zip(again, expected, strict=True):
+            assert lang == want and math.isclose(p, q, rel_tol=1e-3, abs_tol=1e-4)
+    got = langid.identify(frame, model).collect()
+    assert Counter((r.text, r.lang_pred) for r in got) == Counter(zip(texts, (x[0] for x in expected), strict=True))
+    assert [x[0] == "und" for x in expected[-len(odd) :]] == [True, True, True, False, False, False, False, False, False]
+
+
 def test_simhash(docs, rows):
     columns = ["doc_id", "fingerprint", "component_id"]
     same(simhash.near_duplicates(docs), brute.near_duplicates([r[:2] for r in rows]), columns)
@@ -333,6 +353,18 @@ def test_bk_tree_matches_scan():
         assert sorted(tree.near(int(v), 2)) == np.flatnonzero(np.bitwise_count(values ^ v) <= 2).tolist()
 
 
+def test_grown_tree_matches_scan():
+    rng = random.Random(9)
+    values = list({rng.getrandbits(12) << 20 for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)})
+    group = {v: v for v in values}
+    for i, j in simhash.grown_forest(values):
+        assert (values[i] ^ values[j]).bit_count() <= simhash.RADIUS
+        a, b = group[values[i]], group[values[j]]
+        assert a != b  # a forest: no link twice
+        group = {v: b if g == a else g for v, g in group.items()}
+    assert all((a ^ b).bit_count() > simhash.RADIUS or group[a] == group[b] for a in values for b in values)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
