@@ -6,15 +6,16 @@ linked when their fingerprints differ in at most four bits.
 The distinct fingerprints are dealt to shards by the pigeonhole principle: of six blocks of a
 fingerprint, four differing bits leave at least two untouched, so linked fingerprints share one of
 the fifteen pairs of blocks. Each shard is a BK-tree (children keyed by the integer Hamming
-distance to their parent) in the task that owns the shard, and a search follows only the edges
-within the radius. The trees are dealt by a shuffle and not broadcast, since all trees together
-grow with the corpus. A shard of more than SHARD_ROWS fingerprints is split into parts, and its
+distance to their parent) in the task that owns the shard, and every link is found by a search of a tree, which follows only
+the edges within the radius. The trees are dealt by a shuffle and not broadcast, since all trees together
+grow with the corpus and may not pass through the driver. A shard of more than SHARD_ROWS fingerprints is split into parts, and its
 fingerprints search all parts, the parts' trees being bounded in size. A shard reports a
 spanning forest of its links, never all pairs of a group; components are then joined across shards.
 
 Defined cases: null texts and texts without a word have fingerprint zero and link to one another;
 fewer than four words make one shingle; equal texts share a fingerprint; a null doc_id is never a
-component's id unless all its documents have none; an empty table gives an empty result.
+component's id unless all its documents have none; rows may repeat, and texts of any length are taken whole; other
+columns are not read, and `without_near_duplicates` keeps them all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 SHARD_ROWS = 100_000
 #: Most keys of removed rows (counted) that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
-#: A node with so few fingerprints below it keeps them as a list.
+#: Shards of up to so many fingerprints are searched while their tree grows, value by value.
+GROWN = 1_000
+#: In larger trees, which are built at once, a node with so few fingerprints below it keeps them as a list.
 LEAF = 48
 #: Bits are summed over so many shingles at a time.
 SUM_ROWS = 32_768
@@ -109,8 +112,36 @@ class BKTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
+def grown_forest(values: list[int]) -> list[tuple[int, int]]:
+    """The same as `forest` for a few values: each searches the tree of those before it, and is then put into it."""
+    root: tuple[int, int, dict] = (0, values[0], {})
+    group, edges = list(range(len(values))), []
+
+    def head(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for i, value in enumerate(values[1:], 1):
+        todo = [root]
+        while todo:
+            j, other, children = todo.pop()
+            d = (other ^ value).bit_count()
+            if d <= RADIUS and (a := head(i)) != (b := head(j)):
+                group[a] = b
+                edges.append((j, i))
+            todo += [children[k] for k in range(d - RADIUS, d + RADIUS + 1) if k in children]
+        node = root
+        while (d := (node[1] ^ value).bit_count()) in node[2]:
+            node = node[2][d]
+        node[2][d] = (i, value, {})
+    return edges
+
+
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of indexes that join the values within the radius of one another: a spanning tree of each group."""
+    if len(values) <= GROWN:
+        return grown_forest(values.tolist())
     tree, seen, edges = BKTree(values), np.zeros(len(values), bool), []
     for i in range(len(values)):
         if seen[i]:
@@ -126,33 +157,25 @@ def forest(values: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _small_groups(fp: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of at most LEAF rows that lie at ``first``: such a tree is one leaf, and all leaves are compared at once."""
-    a, b = [], []
-    for shift in range(1, int(size.max(initial=1))):
-        has = size > shift
-        first, size = first[has], size[has]
-        # rows of each group that have a row `shift` further on in it
-        n = size - shift
-        left = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        near = np.bitwise_count(fp[left] ^ fp[left + shift]) <= RADIUS
-        a.append(left[near])
-        b.append(left[near] + shift)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
 def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 class _Shard:
-    """A shard's tree, and of each member the first one that its links lead to."""
+    """A split shard's part: its members' tree, and of each member the number of the group that its links lead to."""
 
     def __init__(self, members: np.ndarray):
         self.members, pairs = members, forest(members)
-        self.tree, self.group = BKTree(members), np.arange(len(members))
-        for i, j in pairs:  # in order of the walk, parents first
-            self.group[j] = self.group[i]
+        self.tree, group = BKTree(members), list(range(len(members)))
+
+        def head(i: int) -> int:
+            while group[i] != i:
+                group[i] = i = group[group[i]]
+            return i
+
+        for i, j in pairs:
+            group[head(j)] = head(i)
+        self.group = np.array([head(i) for i in range(len(members))], np.int64)
         self.pairs = np.array(pairs, np.int64).reshape(-1, 2)
 
     def own(self) -> pa.RecordBatch:
@@ -173,15 +196,22 @@ def _whole_shards(fp: np.ndarray, key: np.ndarray, part: np.ndarray, member: np.
         return
     start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
     size = np.diff(np.append(start, len(fp)))
-    leaf = (np.add.reduceat(member, start) == size) & (size > 1) & (size <= LEAF)
-    a, b = _small_groups(fp, start[leaf], size[leaf])
-    if len(a):
+    own = np.add.reduceat(member, start, dtype=np.int64)
+    whole = (own == size) & (size > 1)
+    a: list[int] = []
+    b: list[int] = []
+    for s, n in zip(start[whole].tolist(), size[whole].tolist(), strict=True):
+        for i, j in forest(fp[s : s + n]):
+            a.append(s + i)
+            b.append(s + j)
+    if a:
         yield _out(fp[a], fp[b])
-    for s, n in zip(start[(size > 1) & ~leaf].tolist(), size[(size > 1) & ~leaf].tolist(), strict=True):
+    for s, n in zip(start[own < size].tolist(), size[own < size].tolist(), strict=True):
         inside = member[s : s + n] == 1
-        shard = _Shard(fp[s : s + n][inside])
-        yield shard.own()
-        yield from shard.search(fp[s : s + n][~inside])
+        if inside.any():
+            shard = _Shard(fp[s : s + n][inside])
+            yield shard.own()
+            yield from shard.search(fp[s : s + n][~inside])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
