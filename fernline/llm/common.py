@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -43,8 +43,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scratch.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
 
 
 def durable(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -73,6 +72,17 @@ def slices(b: pa.RecordBatch, column: str, rows: int = 512, most: int = 4 << 20)
         first = last
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written to the shared folder; the tables that it wrote on the way are removed."""
+    with scratch(spark):
+        return durable(build(), keep=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` itself is used only where the text is pure ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, row_key, scratch, small
+from .common import ascii_lower, durable, finished, row_key, scratch, small
 
 WINDOW = 10
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,8 +83,7 @@ def occurrences(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) ->
     return places.where("n = 1").unionByName(both.where("n = 2")).unionByName(whole)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = durable(benchmark_windows(benchmark, window))
     vocabulary = durable(windows.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("hash"), F.monotonically_increasing_id().alias("term")))
     index = build_index(docs, small(vocabulary, BROADCAST_TERMS))
@@ -109,6 +108,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
+    return finished(docs.sparkSession, lambda: _contamination(docs, benchmark, window))
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) in which no window of the benchmark occurs."""
     key = row_key(F.col("doc_id"), F.col("text"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, id_text
+from .common import WORD, durable, finished, id_text
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,8 +93,7 @@ def copies_at(k: Column) -> Column:
     return (F.floor(F.col("rate") * (at + 1) + F.col("offset")) - F.floor(F.col("rate") * at + F.col("offset"))).cast("bigint")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source)."""
+def _mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = durable(sized)
     places = item_places(sized, source_targets(sized, weights, most), seed)
@@ -102,6 +101,11 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source)."""
+    return finished(docs.sparkSession, lambda: _mix_documents(docs, weights, most, seed))
+
+
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source and any other columns), each as often as the mix takes it."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))

@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, scratch, small
+from .common import durable, finished, small
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -201,5 +201,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     The four counts are of base spans; spans also has what the patterns add, and n_added says how many those are.
     """
-    with scratch(docs.sparkSession):
-        return durable(_personal_data(docs), keep=True)
+    return finished(docs.sparkSession, lambda: _personal_data(docs))

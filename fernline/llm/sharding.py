@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, id_text
+from .common import durable, finished, id_text
 from .mixing import unit
 
 SHARDS, RACKS, PER_RACK = 24, 2, 4
@@ -63,8 +63,7 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return F.substring(_winner(key, F.element_at(in_rack, rack)), 2, 9).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, racks: int = RACKS, per_rack: int = PER_RACK) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of ``docs`` (doc_id, text)."""
+def _shard_documents(docs: DataFrame, shards: int = SHARDS, racks: int = RACKS, per_rack: int = PER_RACK) -> DataFrame:
     key = id_text(F.col("doc_id"))
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"))
     # Rows equal in all three are one item with a count: however many they are, they meet as partial counts.
@@ -83,3 +82,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, racks: int = RACKS, p
     return slotted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("ahead") + F.col("before") + F.col("k")).alias("slot"), "grown_shard"
     )
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, racks: int = RACKS, per_rack: int = PER_RACK) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of ``docs`` (doc_id, text)."""
+    return finished(docs.sparkSession, lambda: _shard_documents(docs, shards, racks, per_rack))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key, scratch, small
+from .common import durable, finished, row_key, scratch, small
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -279,13 +279,17 @@ def fingerprint_groups(prints: DataFrame) -> DataFrame:
     return joined.join(ids, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row of ``docs`` (doc_id, text)."""
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     prints = durable(with_fingerprints(docs, "doc_id"))
     groups = fingerprint_groups(prints)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each row of ``docs`` (doc_id, text)."""
+    return finished(docs.sparkSession, lambda: _near_duplicates(docs))
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates of ``docs`` (doc_id, text and any others): the one with the least doc_id.
 

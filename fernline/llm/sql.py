@@ -66,6 +66,14 @@ FROM (SELECT *, cast(floor(rate * (pos + 1) + u) - floor(rate * pos + u) AS bigi
 """
 
 
+#: CRC-32 byte by byte, with the table of its polynomial.
+_CRC = """
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), n)) AS step),
+spelled AS (SELECT DISTINCT text, hex(encode(text)) AS digits FROM documents WHERE text IS NOT NULL),
+spelled_bytes AS (SELECT text, list_transform(range(len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint) AS bytes FROM spelled),
+crcs AS (SELECT text, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM spelled_bytes, steps)"""
+
+
 def _descend(level: str, parent: str, nodes: list[tuple[str, str, float]]) -> str:
     values = ", ".join(f"('{p}', '{c}', {w}::double)" for p, c, w in nodes)
     return f"""
@@ -86,12 +94,19 @@ def _tree(name: str, grown: int) -> str:
 
 def shard_sql() -> str:
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(doc_id::varchar, '') AS key, cast(coalesce(strlen(text), 0) + 8 AS bigint) AS size, text FROM documents),
+WITH {_CRC.lstrip()},
+docs AS (
+  SELECT doc_id, coalesce(doc_id::varchar, '') AS key, cast(coalesce(strlen(text), 0) + 8 AS bigint) AS size, cast(coalesce(crc, 0) AS bigint) AS text_crc32
+  FROM documents LEFT JOIN crcs USING (text)),
 roots AS (SELECT DISTINCT key, '' AS node FROM docs),
 {_tree("now", 0)},
 {_tree("grown", 1)}
+SELECT doc_id, size, text_crc32, 'key' AS law, cast(substr(n.node, 2) AS int) AS shard,
+       row_number() OVER (PARTITION BY n.node ORDER BY substr(md5(key), 1, 3), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       cast(substr(g.node, 2) AS int) AS grown_shard
+FROM docs JOIN now_shard n USING (key) JOIN grown_shard g USING (key)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": URL_FILTERS, "op4_decontaminate": DECONTAMINATE, "op8_mix_sources": MIX_SOURCES}
+    return {"op1_url_filters": URL_FILTERS, "op4_decontaminate": DECONTAMINATE, "op8_mix_sources": MIX_SOURCES, "op10_shard_tree": shard_sql()}

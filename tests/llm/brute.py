@@ -306,7 +306,8 @@ def languages(labelled, texts, lengths):
         return {k: [math.log((c.get(k, 0) + 0.1) / (n + 0.1 * max(1, len(keys)))) for c, n in zip(per, totals, strict=True)] for k in keys}
 
     def pieces(w, n):
-        return [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+        framed = f" {w} " if n > 1 else w
+        return [framed[i : i + n] for i in range(len(framed) + 1 - n)]
 
     known = table([counts[n] for n in names]) if names else {}
     grams = {}
