@@ -28,23 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-DOCS_PER_LANGUAGE = 500
-#: Lengths of n-grams, in the order they are tried; a word is framed by spaces.
+DOCS_PER_LANGUAGE = 1000
+#: Least score of a row that `with_language` keeps, as a multiple of the score when all languages are alike: below it, none is found.
+LEAST = 1.2
+#: Lengths of n-grams, in the order they are tried; a word is framed by spaces, but for single characters.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker remembers.
 MEMO = 300_000
-
-
-def _other_numerals() -> str:
-    """Characters that a pattern takes for a word's, but that are neither letters nor decimal digits."""
-    return "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-
-
-LETTERS = re.compile(rf"[^\W\d_{_other_numerals()}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """The runs of letters of a text, lower-cased."""
+    words = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # numerals such as ½ count as a word's characters there
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +69,7 @@ class Model:
             for lang in self.languages:
                 c: Counter = Counter()
                 for w, times in counts[lang].items():
-                    framed = f" {w} "
+                    framed = f" {w} " if n > 1 else w
                     for i in range(len(framed) - n + 1):
                         c[framed[i : i + n]] += times
                 each.append(c)
@@ -89,9 +88,8 @@ class Model:
         found = self.words.get(w)
         if found is not None:
             return np.frombuffer(found, np.float32)
-        framed = f" {w} "
         for n in LENGTHS:
-            grams = self.grams[n]
+            grams, framed = self.grams[n], f" {w} " if n > 1 else w
             known = [s for i in range(len(framed) - n + 1) if (s := grams.get(framed[i : i + n])) is not None]
             if known:
                 return np.frombuffer(b"".join(known), np.float32).reshape(len(known), -1).sum(axis=0) / len(known)
@@ -168,6 +166,19 @@ def predictor(docs: DataFrame, model: Model) -> Callable[[Column], Column]:
     return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")
 
 
+def with_language(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` (text and any others) in whose text a language is found: with a score of ``least`` times chance, or half way from chance to 1.
+
+    A text of which nothing is known, in another script for instance, scores as chance. Without a model no language is any likelier
+    than another, and every row whose text has a letter stays.
+    """
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    chance = 1 / len(model.languages)
+    rows = docs.select(F.struct("*").alias("row"), predictor(docs, model)(F.col("text").cast("string")).alias("found"))
+    return rows.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= min(least * chance, (1 + chance) / 2))).select("row.*")
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with two more columns: lang_pred and score; their old columns of these names are replaced."""
     found = docs.select(F.struct("*").alias("row"), predictor(docs, model)(F.col("text").cast("string")).alias("found"))
