@@ -103,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.explain:
                 print(engine.explain(text, params), end="")
                 return 0
-            lowered = engine.lower(text, params, ordered=True)
+            lowered = engine.lower(text, params, ordered=True, observe=args.stats or args.stats_only)
         except QueryError as e:
             print(e, file=sys.stderr)
             return 2
@@ -124,8 +124,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 sys.stdout.writelines(emit.FORMATS[args.format](counted()))
             if args.stats or args.stats_only:
-                scanned = sum(s.count() for s in lowered.sources)
-                print(f"rows {n}, scanned {scanned}, seconds {time.time() - began:.3f}", file=sys.stderr)
+                print(f"rows {n}, scanned {lowered.scanned()}, seconds {time.time() - began:.3f}", file=sys.stderr)
         except Exception as e:  # noqa: BLE001
             print(str(e).split("\n")[0], file=sys.stderr)
             return 3

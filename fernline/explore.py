@@ -15,7 +15,7 @@ from .plans import kinds as K
 from .sinks.emit import kind
 
 SAMPLE = 5000
-#: A projection is a table if it has two rows, two fifths of them objects, and its commonest field is in three fifths of those.
+#: A projection is a table if it has two rows, two fifths of them objects, and its commonest field is in three fifths of those.
 MAX_COLUMNS, OBJECT_SHARE, FIELD_SHARE = 20, 0.4, 0.6
 
 
@@ -72,7 +72,7 @@ def _kind_label(v: Column) -> Column:
 
 def _value_at(engine: Engine, path: str) -> DataFrame | None:
     """One row with the VARIANT ``v`` at a path; None for the root of a catalog of tables."""
-    if path == "." and engine.catalog.document is None:
+    if path == "." and engine.catalog.document_for(None) is None:
         return None
     lowered = engine.lower(f"from {path} as node limit 1")
     if lowered.shape == "value":

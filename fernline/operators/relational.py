@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], there: list[Column], kind: str) -> DataFrame:
-    """Join on keys that are equal or both null; rows for which ``there`` doesn't hold on either side match nothing."""
+    """Join on keys that are equal or both null; rows for which ``there`` doesn't hold on either side match nothing.
+
+    Where one side can't be null, plain equality does, under which Spark drops nulls early and may filter one side by the other's keys.
+    """
+    sides = [[f.nullable for f in df.select(*[p[i].alias(f"k{n}") for n, p in enumerate(pairs)]).schema] for i, df in enumerate((left, right))]
     on = None
-    for a, b in pairs:
-        same = a.eqNullSafe(b)
+    for (a, b), x, y in zip(pairs, *sides, strict=True):
+        same = a.eqNullSafe(b) if x and y else a == b
         on = same if on is None else on & same
     for c in there:
         on = on & c
@@ -25,11 +29,15 @@ def unnest(df: DataFrame, array: Column, name: str, position: str | None) -> Dat
 
 
 def first_by(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``: a minimum with partial aggregation, not a sort of every group."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    picked = df.select(*named, F.struct(*order).alias("__by"), row.alias("__row")).groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.min_by("__row", "__by").alias("__row"))
-    return picked.select("__row.*")
+    """The first row of each key by ``order``: minima with partial aggregation, not a sort of every group.
+
+    Each column is a minimum of its own, so that those which nothing reads later are pruned down to the scan. They agree on the row: every
+    one takes a value over when, and only when, the order of its row is less.
+    """
+    by = order[0] if len(order) == 1 else F.struct(*order)
+    names = [f"__k{i}" for i in range(len(keys))]
+    held = df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)], by.alias("__by"))
+    return held.groupBy(*names).agg(*[F.min_by(F.col(f"`{c}`"), "__by").alias(c) for c in df.columns]).drop(*names)
 
 
 def collect(df: DataFrame, key: Column, member: Column, order: list[Column], name: str, items: str) -> DataFrame:

@@ -33,6 +33,7 @@ class Ex:
     literal: object = field(default=_NOTHING, compare=False)
     members: dict[str, Ex] | None = None  # of an obj made of columns
     name: str | None = None  # of the column that a VARIANT alias is
+    held: Column | None = None  # of an obj made of columns: where it isn't null (None: everywhere)
 
     @property
     def is_literal(self) -> bool:
@@ -42,7 +43,8 @@ class Ex:
         """The value as a Column; a bool is never NULL for false."""
         if self.members is not None and self.col is None:
             inner = F.struct(*[m.output().alias(n) for n, m in self.members.items()]) if self.members else F.struct()
-            return F.when(self.present, inner) if self.present is not None else inner
+            there = both(self.present, self.held)
+            return F.when(there, inner) if there is not None else inner
         return F.coalesce(self.col, F.lit(False)) if self.unsure and not self.many else self.col
 
     def output(self) -> Column:
@@ -123,7 +125,7 @@ def stream(e: Ex) -> Ex:
     if e.many:
         return e
     there, one = is_there(e), F.array(e.value())
-    return replace(e, col=one if there is None else F.when(there, one).otherwise(F.filter(one, lambda x: F.lit(False))), present=None, many=True, members=None, unsure=False, literal=_NOTHING)
+    return replace(e, col=one if there is None else F.when(there, one).otherwise(F.filter(one, lambda x: F.lit(False))), present=None, many=True, members=None, held=None, unsure=False, literal=_NOTHING)
 
 
 def tag(v: Column) -> Column:
@@ -155,6 +157,8 @@ def is_null(e: Ex) -> Column:
     """Where a present single value is null."""
     if e.kind == "any":
         return F.coalesce(F.is_variant_null(e.col), F.lit(False))
+    if e.held is not None:
+        return ~e.held
     return F.lit(e.literal is None) if e.is_literal else F.lit(False) if e.unsure or e.members is not None and e.present is None else e.value().isNull()
 
 
@@ -166,7 +170,7 @@ def truthy(e: Ex) -> Column:
         return F.when(e.col.isNull() | F.is_variant_null(e.col), F.lit(False)).otherwise(F.coalesce(of_kind(e, "bool"), F.lit(True)))
     if e.kind == "null":
         return F.lit(False)
-    own = e.col if e.kind == "bool" else F.lit(True) if e.members is not None else e.col.isNotNull()
+    own = e.col if e.kind == "bool" else (F.lit(True) if e.held is None else e.held) if e.members is not None else e.col.isNotNull()
     return e.present & own if e.present is not None else own
 
 

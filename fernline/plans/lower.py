@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,16 @@ class Lowered:
     steps: list[str] = field(default_factory=list)
     sources: list[DataFrame] = field(default_factory=list)
     group_keys: list[str] = field(default_factory=list)
+    observations: list[Observation] = field(default_factory=list)
+
+    def scanned(self) -> int | None:
+        """Rows read from the sources by a run that was compiled to observe them; None if Spark reports none (a source that was never run)."""
+        until = time.time() + 5
+        while not all(o._jo.future().isCompleted() for o in self.observations):  # reports follow the run
+            if time.time() > until:
+                return None
+            time.sleep(0.01)
+        return sum(o.get["rows"] for o in self.observations)
 
 
 @dataclass
@@ -78,7 +89,8 @@ def _label(e: ast.Node, default: str) -> str:
 
 class Lowerer:
     def __init__(self, catalog: Catalog, params: dict[str, object] | None = None, ordered: bool = False, observe: bool = False):
-        self.catalog, self.params, self.ordered = catalog, params or {}, ordered
+        self.catalog, self.params, self.ordered, self.observe = catalog, params or {}, ordered, observe
+        self.observations: list[Observation] = []
         self.counter = 0
         self.declared = False  # whether the last source has a column for its order
         self.sources: list[DataFrame] = []
@@ -97,9 +109,18 @@ class Lowerer:
         if any(isinstance(s, ast.FieldSet) for s in path.segments):
             raise QueryError("a field set is allowed only on the left of a comparison", path.position)
         segments, orders = list(path.segments), []
-        table = self.catalog.tables.get(segments[0].name) if segments and isinstance(segments[0], ast.Field) else None
-        if table is not None and len(segments) > 1 and isinstance(segments[1], ast.Iterate):
-            df, rest = table.frame, segments[2:]
+        names = []
+        for s in segments:
+            if not isinstance(s, ast.Field):
+                break
+            names.append(s.name)
+        after = segments[len(names)] if len(segments) > len(names) else None
+        table = self.catalog.table(names) if isinstance(after, ast.Iterate | ast.Index) else None
+        if table is not None and (isinstance(after, ast.Iterate) or table.order == "__pos"):
+            df, rest = table.frame, segments[len(names) + 1 :]
+            if isinstance(after, ast.Index):
+                at = after.at
+                df = df.where(F.col("__pos") == at) if at >= 0 else df.orderBy(F.desc("__pos")).limit(-at).orderBy("__pos").limit(1).where(F.col("__pos") >= 0)
             self.declared = table.order not in (None, "__pos")
             if table.order is not None:
                 orders = [table.order]
@@ -115,9 +136,9 @@ class Lowerer:
             else:
                 hidden = {"__ord", "__pos"}
                 row = Ex("obj", None, None, members={c: K.typed(F.col(n), types[c]) for c, n in rename.items() if c not in hidden})
-        elif self.catalog.document is not None:
+        elif (document := self.catalog.document_for(names[0] if names else None)) is not None:
             name = self.fresh(alias)
-            df, rest = self.catalog.document.select(F.col("doc").alias(name)), segments
+            df, rest = document.select(F.col("doc").alias(name)), segments
             row = Ex("any", F.col(name), T.VariantType(), name=name)
         else:
             known = ", ".join(f".{n}[]" for n in sorted(self.catalog.tables)) or "none"
@@ -138,6 +159,10 @@ class Lowerer:
         elif plain:
             there = K.is_there(row)
             df = df.where(there) if there is not None else df
+        if self.observe:
+            seen = Observation()
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            self.observations.append(seen)
         self.sources.append(df)
         return df, row, orders
 
@@ -237,7 +262,7 @@ class Lowerer:
         out = e.output()
         if e.kind == "any":
             return Ex("any", out, e.dtype)
-        return Ex(e.kind, out, e.dtype or (None if e.members is None else _members_type(e)))
+        return Ex(e.kind, out, e.dtype)
 
     def comparison(self, op: str, a: ast.Node, b: ast.Node, scope: Scope) -> Ex:
         if isinstance(a, ast.Path) and a.segments and isinstance(a.segments[-1], ast.FieldSet):
@@ -286,7 +311,7 @@ class Lowerer:
             if as_json and e.name is not None:
                 return Ex("any", F.parse_json(F.col(f"{e.name}_json").outer()), e.dtype)
             if e.members is not None:
-                return replace(e, members={n: outer(m) for n, m in e.members.items()}, present=None if e.present is None else _outer_col(e.present))
+                return replace(e, members={n: outer(m) for n, m in e.members.items()}, present=None if e.present is None else _outer_col(e.present), held=None if e.held is None else _outer_col(e.held))
             return replace(e, col=None if e.col is None else _outer_col(e.col), present=None if e.present is None else _outer_col(e.present))
 
         return Scope({n: outer(e) for n, e in scope.aliases.items()}, None if scope.row is None else outer(scope.row), scope.closed)
@@ -316,7 +341,7 @@ class Lowerer:
         name = self.fresh("value")
         out = K.first(value)
         col = df.select(out.output().alias(name)).scalar()
-        if q.aggregate is not None and isinstance(q.aggregate.items[0].value, ast.Reducer) and q.aggregate.items[0].value.op == "count":
+        if q.aggregate is not None and not q.aggregate.keys and isinstance(q.aggregate.items[0].value, ast.Reducer) and q.aggregate.items[0].value.op == "count":
             col = F.coalesce(col, F.lit(0))
         return Ex("any" if out.kind == "any" else out.kind, F.coalesce(col, K.VARIANT_NULL()) if out.kind == "any" else col, out.dtype)
 
@@ -325,18 +350,22 @@ class Lowerer:
     def reduce(self, r: ast.Reducer, scope: Scope) -> Ex:
         where: Column | None = scope.reducers["where"]
         rows = Scope(scope.aliases, scope.reducers["row"])
+        over: WindowSpec | None = scope.reducers.get("over")
+
+        def agg(c: Column) -> Column:
+            return c if over is None else c.over(over)
 
         def kept(c: Column) -> Column:
             return c if where is None else F.when(where, c)
 
         if r.arg is None:
-            return Ex("num", F.count(F.lit(1)) if where is None else F.count_if(where), T.LongType())
+            return Ex("num", agg(F.count(F.lit(1)) if where is None else F.count_if(where)), T.LongType())
         e = self.ex(r.arg, rows)
         if r.op == "count":
             if e.many:
-                return Ex("num", F.coalesce(F.sum(kept(F.size(F.filter(e.col, lambda x: ~K.is_null(K.element(e, x)))))), F.lit(0)), T.LongType())
+                return Ex("num", F.coalesce(agg(F.sum(kept(F.size(F.filter(e.col, lambda x: ~K.is_null(K.element(e, x))))))), F.lit(0)), T.LongType())
             there = ~K.is_null(e) if K.is_there(e) is None else K.is_there(e) & ~K.is_null(e)
-            return Ex("num", F.count(kept(F.when(there, 1))), T.LongType())
+            return Ex("num", agg(F.count(kept(F.when(there, 1)))), T.LongType())
 
         def number(x: Ex) -> Column:
             flag = K.of_kind(x, "bool").cast("int")
@@ -348,16 +377,16 @@ class Lowerer:
         if e.many:
             values = F.filter(F.transform(e.col, lambda x: number(K.element(e, x)).cast("double")), lambda x: x.isNotNull())
             some = kept(F.when(F.size(values) > 0, values))
-            total = F.sum(F.aggregate(some, F.lit(0.0), lambda acc, x: acc + x))
-            out = {"sum": lambda: total, "avg": lambda: total / F.nullif(F.sum(F.size(some)), F.lit(0)), "min": lambda: F.min(F.array_min(some)), "max": lambda: F.max(F.array_max(some))}[r.op]()
+            total = agg(F.sum(F.aggregate(some, F.lit(0.0), lambda acc, x: acc + x)))
+            out = {"sum": lambda: total, "avg": lambda: total / F.nullif(agg(F.sum(F.size(some))), F.lit(0)), "min": lambda: agg(F.min(F.array_min(some))), "max": lambda: agg(F.max(F.array_max(some)))}[r.op]()
             return Ex("num", out, T.DoubleType())
         c = kept(number(e))
         kind = e.dtype if e.kind == "num" and r.op in ("min", "max") else T.DoubleType()
-        return Ex("num", {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[r.op](c), kind)
+        return Ex("num", agg({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[r.op](c)), kind)
 
-    def item(self, i: ast.AggItem, scope: Scope) -> Ex:
+    def item(self, i: ast.AggItem, scope: Scope, over: WindowSpec | None = None) -> Ex:
         where = None if i.where is None else K.truthy(self.ex(i.where, scope))
-        inside = Scope(scope.aliases, None, reducers={"where": where, "row": scope.row})
+        inside = Scope(scope.aliases, None, reducers={"where": where, "row": scope.row, "over": over})
         value = self.ex(i.value, inside)
         if i.default is not None and value.members is None:
             value = self.default(value, i.default, inside)
@@ -416,6 +445,7 @@ class Lowerer:
 
     def query(self, q: ast.Query, outer: dict[str, Ex] | None = None) -> tuple[Lowered, Ex]:
         """The DataFrame of a query and the value of a row of it."""
+        correlated = bool(outer) and any(_refers(q, name) for name in outer)
         stateful = q.distinct is not None and (q.distinct or q.joins or q.unnests) or q.collect is not None or q.limit is not None and not q.order and q.aggregate is None
         # Rows of one source come in its order by themselves, as long as nothing moves them and no column is declared to give the order.
         moved = bool(q.joins or q.order or q.limit is not None or q.distinct is not None) or _has(q, ast.Subquery)
@@ -469,7 +499,7 @@ class Lowerer:
             if _has_scalar_subquery(block.items):
                 items, df = self.hoist(block.items, df, aliases)
                 block = replace(block, items=items)
-            df, row, keys = self.aggregate(df, block, scope, lets)
+            df, row, keys = self.aggregate(df, block, scope, lets, correlated)
             shape = "rows" if q.aggregate.keys else "items"
             scope = Scope(aliases, row if q.aggregate.keys else K.absent(), closed=True)
             self.steps.append("aggregate")
@@ -496,10 +526,10 @@ class Lowerer:
                 columns += [F.col(o).asc() for o in orders]
             df = df.orderBy(*columns)
             self.steps.append("sort")
-        elif keys and self.ordered and not outer:
+        elif keys and (self.ordered and not outer or outer and q.limit is not None):
             if not (q.aggregate is not None and q.aggregate.rollup):
                 df = df.orderBy(*[c for k in keys for c in K.canonical_sort(row.members[k] if row.members else Ex("any", F.col(k)))]) if q.collect is None else df.orderBy(*keys)
-        elif orders and q.aggregate is None and q.collect is None and (self.ordered and not in_order or q.limit is not None) and not outer:
+        elif orders and q.aggregate is None and q.collect is None and (self.ordered and not in_order and not outer or q.limit is not None):
             df = df.orderBy(*orders)
         if q.limit is not None:
             df = df.limit(q.limit)
@@ -513,7 +543,7 @@ class Lowerer:
         else:
             df = df.select(out.output().alias("value"))
             shape = "value"
-        return Lowered(df, shape, self.steps, self.sources, keys), out
+        return Lowered(df, shape, self.steps, self.sources, keys, self.observations), out
 
     def bind(self, aliases: dict[str, Ex], name: str, e: Ex, position: int) -> None:
         if name in aliases:
@@ -565,7 +595,7 @@ class Lowerer:
         df = relational.key_join(df, right, pairs, left_there, j.kind)
         if flag is not None:
             met = F.col(flag).isNotNull()
-            row = replace(row, present=met) if row.members is not None else Ex("any", F.when(met, row.col).otherwise(K.VARIANT_NULL()), row.dtype) if row.kind == "any" else replace(row, present=None)
+            row = replace(row, held=met) if row.members is not None else Ex("any", F.when(met, row.col).otherwise(K.VARIANT_NULL()), row.dtype) if row.kind == "any" else replace(row, present=None)
             if row.members is not None:
                 # the alias itself is null then, and its fields are missing
                 row = replace(row, members={n: replace(m, present=met) if m.kind != "any" else m for n, m in row.members.items()})
@@ -618,9 +648,13 @@ class Lowerer:
             exes.append(x)
         return columns, names, exes, conditions
 
-    def aggregate(self, df: DataFrame, a: ast.Aggregate, scope: Scope, lets: dict[str, ast.Node]) -> tuple[DataFrame, Ex, list[str]]:
-        items = {i.name: self.item(self.substitute(i, lets) if lets else i, scope) for i in a.items}
+    def aggregate(self, df: DataFrame, a: ast.Aggregate, scope: Scope, lets: dict[str, ast.Node], correlated: bool = False) -> tuple[DataFrame, Ex, list[str]]:
         columns, names, exes, conditions = self.keys(a.keys, scope)
+        if correlated and a.rollup:
+            raise QueryError("a subquery that refers to the query around it can't roll up")
+        # Spark analyses a grouping at once, before it is known what the outer columns are: a window with one row of each group stands for it.
+        over = Window.partitionBy(*columns) if correlated and a.keys else None
+        items = {i.name: self.item(self.substitute(i, lets) if lets else i, scope, over) for i in a.items}
         if clash := set(names) & set(items):
             raise QueryError(f"a key and an item are both named {sorted(clash)[0]!r}")
         for c in conditions:
@@ -641,7 +675,10 @@ class Lowerer:
             return df.select(*flat), Ex("obj", None, None, members=laid), []
         held = [self.fresh(n) for n in names]
         named = [c.alias(h) for c, h in zip(columns, held, strict=True)]
-        if a.rollup:
+        if over is not None:
+            one = self.fresh("one")
+            df = df.select(*named, *flat, F.row_number().over(over.orderBy(F.lit(0))).alias(one)).where(F.col(one) == 1)
+        elif a.rollup:
             level = self.fresh("level")
             # keys become columns first: rollup nulls are then told from nulls of the data by the level
             df = df.select("*", *named).rollup(*held).agg(F.grouping_id().alias(level), *flat)
@@ -670,10 +707,6 @@ class Lowerer:
         return df, array, Scope(scope.aliases, array, closed=True), [held]
 
 
-def _members_type(e: Ex) -> T.DataType | None:
-    return None
-
-
 def _outer_col(c: Column) -> Column:
     """A column of an outer query as its subqueries write it."""
     return c.outer()

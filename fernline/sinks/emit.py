@@ -49,10 +49,11 @@ def text(value: object) -> str:
 
 
 def values(lowered: Lowered, limit: int | None = None) -> Iterator[object]:
-    """The rows of a result as JSON data, fetched partition by partition. An aggregate without keys emits one value per item."""
+    """The rows of a result as JSON data, fetched partition by partition (at once where rows are observed, which Spark reports
+    of whole runs only). An aggregate without keys emits one value per item."""
     df = lowered.df if limit is None or lowered.shape == "items" else lowered.df.limit(limit)
     left = limit
-    for row in df.toLocalIterator():
+    for row in df.collect() if lowered.observations else df.toLocalIterator():
         if lowered.shape == "items":
             out: Iterable = [plain(v) for v in row]
         elif lowered.shape == "value":

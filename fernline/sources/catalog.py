@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from ..errors import QueryError
 
 #: Documents above this size are read member by member, since one VARIANT holds at most 128 MiB.
 WHOLE_BYTES = 64 << 20
+#: The table in a converted folder that names the others.
+LISTED = "tables.parquet"
 
 
 class Table:
@@ -44,6 +46,22 @@ class Catalog:
     tables: dict[str, Table] = field(default_factory=dict)
     #: one row, one VARIANT column ``doc``: what paths that name no table start from
     document: DataFrame | None = None
+    #: arrays below the first level that are tables, by their path
+    nested: dict[tuple[str, ...], Table] = field(default_factory=dict)
+    #: the array that is the whole document
+    root: Table | None = None
+    #: gives the document with one member, or with all for None, where it is too large to be read whole for every query
+    members: Callable[[str | None], DataFrame] | None = None
+    #: the names of the members that are no arrays, where there is ``members``
+    plain: list[str] = field(default_factory=list)
+
+    def table(self, path: list[str]) -> Table | None:
+        """The table whose rows are the elements at a path of names."""
+        return self.root if not path else self.tables.get(path[0]) if len(path) == 1 else self.nested.get(tuple(path))
+
+    def document_for(self, name: str | None) -> DataFrame | None:
+        """The document, or enough of it for paths that begin with the member ``name``."""
+        return self.document if self.members is None else self.members(name)
 
     def add(self, name: str, frame: DataFrame, order: str | None = None) -> Catalog:
         """Expose a DataFrame, batch or streaming, as ``.name[]``; ``order`` names a column that gives the rows' order."""
@@ -67,38 +85,56 @@ class Catalog:
 
     @staticmethod
     def json(spark: SparkSession, path: str, typed: bool = False) -> Catalog:
-        """A JSON document (one value in one file).
+        """A JSON document (one value in one file, at any path that Spark reads).
 
         VARIANT by default, which keeps missing and null apart and allows mixed kinds. ``typed`` reads
-        homogeneous top-level arrays into native columns instead.
+        homogeneous top-level arrays into native columns instead. A document above WHOLE_BYTES is read
+        member by member: its arrays, at any depth below objects, are tables of VARIANT, and a path that starts elsewhere reads
+        the one member that it names.
         """
-        if "://" not in path:
-            if not os.path.exists(path):
-                raise QueryError(f"no such file: {path}")
-            if not os.path.getsize(path):
-                raise QueryError(f"{path} is empty")
-            size = os.path.getsize(path)
-        else:
-            size = WHOLE_BYTES + 1
+        size, first = _peek(spark, path)
         reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-        if not typed and size <= WHOLE_BYTES:
+        if size <= WHOLE_BYTES and not typed:
             return Catalog(document=reader.option("singleVariantColumn", "doc").json(path))
+        if first == "[":
+            # the reader would take each element for a document: the array becomes a member of one
+            whole = spark.read.text(path, wholetext=True).select(F.from_json(F.concat(F.lit('{"r":'), "value", F.lit("}")), "r array<variant>", {"mode": "FAILFAST"}).alias("d"))
+            return Catalog(root=Table(whole.select(F.posexplode("d.r").alias("__pos", "__item")), "__pos", "__item"))
         inferred = reader.json(path).schema
         out = Catalog()
-        if typed:
-            for f in inferred.fields:
+
+        def member(name: str | None) -> DataFrame:
+            names = [f.name for f in inferred.fields if name in (None, f.name)]
+            if not names:
+                return reader.json(path).select(F.parse_json(F.lit("{}")).alias("doc"))
+            rows = reader.schema(T.StructType([T.StructField(n, T.VariantType()) for n in names])).json(path)
+            return rows.select(F.call_function("to_variant_object", F.struct(*[F.col(f"`{n}`") for n in names])).alias("doc"))
+
+        def rows_at(names: tuple[str, ...], kind: T.ArrayType) -> DataFrame:
+            schema: T.DataType = kind
+            for n in reversed(names):
+                schema = T.StructType([T.StructField(n, schema)])
+            column = F.col(f"`{names[0]}`")
+            for n in names[1:]:
+                column = column.getField(n)
+            return reader.schema(schema).json(path).select(F.posexplode(column).alias("__pos", "__item"))
+
+        def arrays(fields: list[T.StructField], above: tuple[str, ...]) -> None:
+            for f in fields:
+                names = (*above, f.name)
                 if isinstance(f.dataType, T.ArrayType):
-                    rows = reader.schema(T.StructType([f])).json(path).select(F.posexplode(F.col(f"`{f.name}`")).alias("__pos", "__item"))
-                    if isinstance(f.dataType.elementType, T.StructType):
-                        out.tables[f.name] = Table(rows.select("__pos", "__item.*"), "__pos")
+                    own = f.dataType if typed else T.ArrayType(T.VariantType())
+                    rows, element = rows_at(names, own), own.elementType
+                    table = Table(rows.select("__pos", "__item.*"), "__pos") if isinstance(element, T.StructType) else Table(rows, "__pos", "__item")
+                    if above:
+                        out.nested[names] = table
                     else:
-                        out.tables[f.name] = Table(rows, "__pos", "__item")
-            return out
-        for f in inferred.fields:
-            if isinstance(f.dataType, T.ArrayType):
-                kind = T.ArrayType(T.VariantType())
-                rows = reader.schema(T.StructType([T.StructField(f.name, kind)])).json(path).select(F.posexplode(F.col(f"`{f.name}`")).alias("__pos", "__item"))
-                out.tables[f.name] = Table(rows, "__pos", "__item")
+                        out.tables[f.name] = table
+                elif isinstance(f.dataType, T.StructType) and not typed:
+                    arrays(f.dataType.fields, names)
+
+        arrays(inferred.fields, ())
+        out.members, out.plain = member, [f.name for f in inferred.fields if not isinstance(f.dataType, T.ArrayType)]
         return out
 
     @staticmethod
@@ -111,37 +147,110 @@ class Catalog:
     @staticmethod
     def cached_json(spark: SparkSession, path: str, cache: str) -> Catalog:
         """A JSON document by way of a Parquet copy in the folder ``cache``, made anew when the file's size or time has changed."""
-        stat = os.stat(path)
-        key = hashlib.sha256(f"{os.path.abspath(path)}|{stat.st_size}|{stat.st_mtime_ns}".encode()).hexdigest()[:24]
-        folder = os.path.join(cache, key)
-        marker = os.path.join(folder, "tables.json")
-        if not os.path.exists(marker):
-            made = Catalog.json(spark, path).convert(folder)
-            listed = {n: [t.order, t.element] for n, t in made.tables.items()}
-            with open(marker + ".new", "w", encoding="utf-8") as f:
-                json.dump(listed, f)
-            os.replace(marker + ".new", marker)
-        with open(marker, encoding="utf-8") as f:
-            listed = json.load(f)
-        return Catalog({n: Table(spark.read.parquet(os.path.join(folder, f"{n}.parquet")), *how) for n, how in listed.items()})
+        status = _status(spark, path)
+        key = hashlib.sha256(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:24]
+        folder = f"{cache.rstrip('/')}/{key}"
+        if not _exists(spark, f"{folder}/{LISTED}"):
+            Catalog.json(spark, path).convert(folder)
+        return Catalog.converted(spark, folder)
 
     def convert(self, folder: str) -> Catalog:
         """Write every table as Parquet once and return a catalog of the copies: columnar, splittable and typed as loaded.
 
-        A JSON document's top-level arrays become tables first.
+        A JSON document's arrays become tables first; its members that are no arrays are written as values, one row each.
         """
-        tables = dict(self.tables)
+        tables: dict[tuple[str, ...], Table] = {(n,): t for n, t in self.tables.items()} | self.nested | ({(): self.root} if self.root is not None else {})
+        spark, parts = None, [] if self.members is None else [self.members(n) for n in self.plain]
         if self.document is not None:
-            kinds = self.document.select(F.schema_of_variant("doc").alias("k")).first()["k"]
-            if kinds.startswith("OBJECT"):
-                members = F.explode(F.try_variant_get("doc", "$", "map<string,variant>")).alias("name", "value")
-                names = [r["name"] for r in self.document.select(members).where(F.schema_of_variant("value").startswith("ARRAY")).select("name").collect()]
-                for n in names:
-                    quoted = n.replace("\\", "\\\\").replace('"', '\\"')
-                    rows = self.document.select(F.posexplode(F.try_variant_get("doc", f'$["{quoted}"]', "array<variant>")).alias("__pos", "__item"))
-                    tables[n] = Table(rows, "__pos", "__item")
+            tables |= _arrays(self.document)
+            parts = [self.document]
+        out: list[tuple[str, str | None, str | None, str]] = []
+        for i, (names, t) in enumerate(tables.items()):
+            t.frame.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/table-{i}.parquet")
+            spark = t.frame.sparkSession
+            out.append((json.dumps(names), t.order, t.element, f"table-{i}.parquet"))
+        arrays = [n[0] for n in tables if len(n) == 1]
+        for i, part in enumerate(parts):
+            spark = part.sparkSession
+            values = part.select(F.explode(F.try_variant_get("doc", "$", "map<string,variant>")).alias("name", "value"))
+            values.where(~F.col("name").isin(arrays)).write.mode("append" if i else "overwrite").parquet(f"{folder.rstrip('/')}/members.parquet")
+        if spark is None:
+            return Catalog()
+        # written last: it says that the copy is whole
+        spark.createDataFrame(out, "path string, order string, element string, file string").coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{LISTED}")
+        return Catalog.converted(spark, folder)
+
+    @staticmethod
+    def converted(spark: SparkSession, folder: str) -> Catalog:
+        """The catalog of a folder that `convert` wrote."""
         out = Catalog()
-        for n, t in tables.items():
-            t.frame.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{n}.parquet")
-            out.tables[n] = Table(t.frame.sparkSession.read.parquet(f"{folder.rstrip('/')}/{n}.parquet"), t.order, t.element)
+        for r in spark.read.parquet(f"{folder.rstrip('/')}/{LISTED}").collect():
+            names, table = tuple(json.loads(r["path"])), Table(partial(spark.read.parquet, f"{folder.rstrip('/')}/{r['file']}"), r["order"], r["element"])
+            if not names:
+                out.root = table
+            elif len(names) == 1:
+                out.tables[names[0]] = table
+            else:
+                out.nested[names] = table
+        if _exists(spark, f"{folder.rstrip('/')}/members.parquet"):
+            values = spark.read.parquet(f"{folder.rstrip('/')}/members.parquet")
+
+            def member(name: str | None) -> DataFrame:
+                some = values if name is None else values.where(F.col("name") == name)
+                for n, t in out.tables.items():
+                    if name in (None, n):
+                        some = some.unionByName(t.frame.agg(F.call_function("to_variant_object", _in_order(t)).alias("value")).withColumn("name", F.lit(n)))
+                pairs = F.map_from_entries(F.collect_list(F.struct("name", "value")))  # the members of one document
+                return some.agg(F.call_function("to_variant_object", pairs).alias("doc"))
+
+            out.members, out.plain = member, [r["name"] for r in values.select("name").collect()]
         return out
+
+
+def _in_order(t: Table) -> Column:
+    """The elements of a table as one array, as an aggregate."""
+    listed = F.collect_list(F.struct(F.col(t.order).alias("at"), F.col(t.element).alias("item")))
+    return F.transform(F.array_sort(listed, lambda a, b: a["at"] - b["at"]), lambda x: x["item"])
+
+
+def _status(spark: SparkSession, path: str):
+    """Size and time of a file, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    except Py4JJavaError as e:
+        raise QueryError(f"no such file: {path}") from e
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _peek(spark: SparkSession, path: str) -> tuple[int, str]:
+    """A file's size and its first character that is no white space."""
+    size = _status(spark, path).getLen()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        while (c := stream.read()) in (9, 10, 13, 32, 0xEF, 0xBB, 0xBF):
+            pass
+    finally:
+        stream.close()
+    if c < 0:
+        raise QueryError(f"{path} is empty")
+    return size, chr(c)
+
+
+def _arrays(document: DataFrame) -> dict[tuple[str, ...], Table]:
+    """The arrays of a document that is a VARIANT: itself, or its members."""
+    kind = document.select(F.schema_of_variant("doc").alias("k")).first()["k"]
+    if kind.startswith("ARRAY"):
+        return {(): Table(document.select(F.posexplode(F.try_variant_get("doc", "$", "array<variant>")).alias("__pos", "__item")), "__pos", "__item")}
+    members = document.select(F.explode(F.try_variant_get("doc", "$", "map<string,variant>")).alias("name", "value"))
+    found = {}
+    for r in members.where(F.schema_of_variant("value").startswith("ARRAY")).select("name").collect():
+        quoted = r["name"].replace("\\", "\\\\").replace('"', '\\"')
+        rows = document.select(F.posexplode(F.try_variant_get("doc", f'$["{quoted}"]', "array<variant>")).alias("__pos", "__item"))
+        found[(r["name"],)] = Table(rows, "__pos", "__item")
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +22,7 @@ def stream_query(stream: DataFrame, text: str, name: str = "events", catalog: Ca
         raise QueryError("collect, limit and order by without aggregate need all rows, which a stream never has")
     if tree.distinct is not None and tree.distinct:
         raise QueryError("distinct by keeps the first row, which needs an order that a stream doesn't have")
-    whole = Catalog({**(catalog.tables if catalog else {})}, catalog.document if catalog else None)
+    whole = replace(catalog, tables=dict(catalog.tables)) if catalog else Catalog()
     return Engine(whole.add(name, stream)).query(tree, params)
 
 
