@@ -59,10 +59,14 @@ def _refers(node: object, alias: str) -> bool:
     return isinstance(node, tuple) and any(_refers(v, alias) for v in node)
 
 
+def _grouped(q: ast.Query) -> bool:
+    return q.aggregate is not None and bool(q.aggregate.keys)
+
+
 def _has_scalar_subquery(node: object, bare: bool = True) -> bool:
-    """Whether a subquery stands where one value is wanted (not under exists or in)."""
+    """Whether a subquery stands where one value is wanted (not under exists or in), or groups by key."""
     if isinstance(node, ast.Subquery):
-        return bare
+        return bare or _grouped(node.query)
     if isinstance(node, ast.Exists | ast.In):
         return any(_has_scalar_subquery(v, False) for v in vars(node).values())
     if isinstance(node, ast.Node):
@@ -224,7 +228,7 @@ class Lowerer:
             case ast.Unary("-", item):
                 return scalar.minus(self.ex(item, scope))
             case ast.Exists(ast.Subquery(q)):
-                return K.boolean(self.subquery(q, scope)[0].exists(), unsure=False)
+                return K.boolean(self.subquery(q, scope, as_json=_grouped(q))[0].exists(), unsure=False)
             case ast.Exists(item):
                 there = K.is_there(self.ex(item, scope))
                 return K.boolean(F.lit(True) if there is None else there, unsure=False)
@@ -329,8 +333,8 @@ class Lowerer:
 
     def any_of(self, item: ast.Node, q: ast.Query, op: str, scope: Scope, flip: bool) -> Ex:
         """Whether a comparison with any value that a subquery emits is true."""
-        df, value = self.subquery(q, scope)
-        own = self.ex(item, self.outer_scope(scope))
+        df, value = self.subquery(q, scope, as_json=_grouped(q))
+        own = self.ex(item, self.outer_scope(scope, as_json=_grouped(q)))
         test = K.compare(op, value, own) if flip else K.compare(op, own, value)
         return K.boolean(df.where(K.truthy(test)).exists(), unsure=False)
 
