@@ -1,7 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index holds a posting (document, position) for every occurrence of a benchmark term in the
-training documents, stored as a Parquet table in segments of documents. A window of a benchmark
+training documents, stored as a Parquet table in segments of documents, each sorted by term and so an inverted list after
+the other. A window of a benchmark
 item occurs where the position lists of its terms, each shifted back by the term's offset in the
 window, intersect. The lists are intersected from the rarest term on: the rarest term's postings
 propose places, the second rarest's confirm them, and only the places left meet the postings of
@@ -13,7 +14,8 @@ one window. `proximity` finds near matches of phrases; `contamination` has exact
 
 Defined cases: a null text has no words, and an item without words no window; equal windows are
 searched once and count for all their items; a null item_id counts as the empty string; rows of
-documents may repeat, each is judged; empty tables give no hits.
+documents may repeat, each is judged; texts of any length are indexed whole; columns other than doc_id and text are not read, and
+`without_contaminated` keeps them all; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -52,9 +54,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     places = words.select("doc_id", "rid", "n_words", F.posexplode_outer("ws").alias("pos", "w"))
     found = places.join(vocabulary, (F.xxhash64(F.coalesce("w", F.lit(""))) == F.col("hash")) & (F.col("w") == F.col("word")), "left")
     last = F.col("pos").isNull() | (F.col("pos") == F.col("n_words") - 1)
-    return durable(
-        found.where(F.col("term").isNotNull() | last).select("rid", "pos", "term", F.when(last, F.col("n_words")).alias("n_words"), F.when(last, F.col("doc_id")).alias("doc_id"))
-    )
+    rows = found.where(F.col("term").isNotNull() | last).select("rid", "pos", "term", F.when(last, F.col("n_words")).alias("n_words"), F.when(last, F.col("doc_id")).alias("doc_id"))
+    return durable(rows.sortWithinPartitions("term", "rid", "pos"))
 
 
 def occurrences(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
