@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -265,6 +266,59 @@ def test_mpeg_parser(spark):
     assert got[1].frames == 6 and got[1].offsets == mpeg_audio.parse(media).offsets and got[2].frames == 0 and got[3].skipped == 2
 
 
+def test_mpeg_columns_against_a_plain_reader(docs, rows):
+    """Media, durations and offsets as a reader finds them that only knows the written layout."""
+    expected = []
+    for d, t, _, _ in rows:
+        payload = mpeg_audio.payload_of((t or "").encode() or None)
+        n = len(payload) // 576
+        media = mpeg_audio.pack(payload)
+        at = [648 + 648 * i for i in range(n)]
+        assert b"".join(media[o + 15 : o + 591] for o in at) == payload and len(media) == 648 * n + 720
+        assert all(media[o : o + 2] == b"\xff\xf2" for o in at) and media[15:19] == b"Xing" and int.from_bytes(media[23:27], "big") == n
+        expected.append((d, len(media), hashlib.sha256(media).hexdigest(), n * 576 / 16000, str(at)))
+    got = mpeg_audio.media_columns(docs).withColumn("offsets", F.concat(F.lit("["), F.array_join("offsets", ", "), F.lit("]")))
+    same(got, expected, ["doc_id", "media_bytes", "media_sha256", "seconds", "offsets"])
+
+
+def frame(version, layer, index, rate, pad, mode, ext=0, protect=False, length=None, body=b""):
+    """A frame from its header's fields; version and layer as the header's bits have them."""
+    head = bytes((0xFF, 0xE0 | version << 3 | layer << 1 | (not protect), index << 4 | rate << 2 | pad << 1, mode << 6 | ext << 4))
+    h = mpeg_audio.header(head)
+    body = body.ljust((length or h.length) - 4 - 2 * protect, b"\0")
+    crc = mpeg_audio.crc16(head[2:] + body[: h.side]).to_bytes(2, "big") if protect else b""
+    return head + crc + body
+
+
+def test_mpeg_layers_and_tables():
+    # (header's fields, frame length by the standard's formula, samples)
+    cases = [
+        ((3, 3, 8, 0, 1, 3), (12 * 256000 // 44100 + 1) * 4, 384, 1), ((3, 2, 8, 1, 0, 0), 144 * 128000 // 48000, 1152, 2), ((3, 1, 9, 0, 1, 1), 144 * 128000 // 44100 + 1, 1152, 3),
+        ((2, 3, 5, 2, 0, 1), (12 * 80000 // 16000) * 4, 384, 1), ((2, 2, 9, 0, 0, 3), 144 * 80000 // 22050, 1152, 2), ((0, 1, 8, 2, 0, 3), 72 * 64000 // 8000, 576, 3),
+    ]
+    for fields, length, samples, layer in cases:
+        data = frame(*fields) * 5
+        s = mpeg_audio.parse(b"noise" + data + b"\xff\xfb")
+        assert (s.offsets, s.samples, s.layer, s.skipped) == ([5 + length * i for i in range(5)], 5 * samples, layer, 7), fields
+    for mode, ext in ((3, 0), (0, 0), (1, 0), (1, 2)):  # checksums of Layer I cover the bands' allocation
+        good = frame(3, 3, 8, 1, 0, mode, ext, protect=True, body=bytes(range(40)))
+        broken = bytearray(good)
+        broken[6] ^= 1
+        assert mpeg_audio.parse(good * 3).bad_crc == 0 and mpeg_audio.parse(good + bytes(broken) + good).bad_crc == 1
+    assert mpeg_audio.parse(frame(3, 2, 8, 1, 0, 0, protect=True) * 3).unchecked == 3
+    free = mpeg_audio.parse(frame(3, 1, 0, 0, 0, 0, length=500) + frame(3, 1, 0, 0, 1, 0, length=501) + frame(3, 1, 0, 0, 0, 0, length=500))
+    assert free.offsets == [0, 500, 1001] and free.kbps == {0}
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4000, 3, 2, 1, 2, 2) + b"\1\2\3\4"
+    s = mpeg_audio.parse(frame(3, 1, 9, 0, 0, 0, body=bytes(32) + vbri) + frame(3, 1, 9, 0, 0, 0) * 3)
+    assert len(s.offsets) == 3 and s.vbr["frames"] == 3 and s.vbr["bytes"] == 4000 and s.toc == b"\1\2\3\4"
+    info = b"Info" + (1).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    s = mpeg_audio.parse(frame(3, 1, 9, 0, 0, 0, body=bytes(32) + info) + frame(3, 1, 9, 0, 0, 0) * 3)
+    assert s.samples == 3 * 1152 and s.played == 3 * 1152 - 576 - 1000 and s.seconds == s.played / 44100
+    text = b"TIT2" + (5).to_bytes(4, "big") + bytes(2) + b"\0a\xff\x00bc"
+    tag = b"ID3\3\0\x80" + bytes((0, 0, 0, len(text))) + text
+    assert mpeg_audio.parse(tag + frame(3, 1, 9, 0, 0, 0) * 2).tags == {"TIT2": "a\xffbc"} and mpeg_audio.parse(b"").offsets == mpeg_audio.parse(b"\xff" * 5000).offsets == []
+
+
 def test_langid(spark):
     got = queries.op6_langid(spark, "/root/testdata/sf0.01")
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
