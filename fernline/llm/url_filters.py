@@ -6,7 +6,7 @@ SHA-256 digests; only pairs whose full digests agree count. Of a URL's rules the
 (host and path together) wins, at equal length the one with the longer host, then a block.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and gets the default
-verdict; rows may repeat, each is judged; an empty rule table gives every row the default; columns
+verdict; rows may repeat, each is judged; URLs of any length are taken whole; an empty rule table gives every row the default; columns
 of the input with the names of the results are not read.
 """
 
@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, small
+from .common import UPPER, durable, finished, small
 
 #: Hex digits of the digest that the join compares before full digests are confirmed.
 PREFIX_HEX = 8
 #: Up to so many rules (counted) are broadcast; beyond it the join shuffles, with SALTS copies of each rule.
 BROADCAST_RULES = 100_000
 SALTS = 32
+#: Up to so many judged places (counted) are broadcast back to the rows; more are joined by a shuffle.
+BROADCAST_PLACES = 200_000
 #: Up to so many shapes (labels of the host, length of the path) the expansion follows the rules'
 #: shapes; beyond it every suffix and prefix is expanded, which finds the same rules.
 MAX_SHAPES = 4096
@@ -39,11 +41,7 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Return id, host, path, rule and verdict for each row of ``pages``.
-
-    ``rules`` has host, path and verdict (``allow`` or ``block``); rows with a null or empty host are no rules.
-    """
+def _judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     known = (
@@ -83,7 +81,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         keys = ["hash", "salt"]
     met = spread.join(known, keys).where(F.col("u_digest") == F.col("digest"))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), (F.col("r_verdict") == "block").cast("int"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(
+    best = durable(met.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best")))
+    # URLs without a host, of which there may be any number, meet no rule and need no join.
+    judged = urls.where(F.length("host") > 0).join(small(best, BROADCAST_PLACES), ["host", "path"], "left")
+    nowhere = urls.where(F.length("host") == 0).withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return judged.unionByName(nowhere).select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """Return id, host, path, rule and verdict for each row of ``pages``.
+
+    ``rules`` has host, path and verdict (``allow`` or ``block``); rows with a null or empty host are no rules.
+    """
+    return finished(pages.sparkSession, lambda: _judge_urls(pages, rules, id_col, url_col, default))

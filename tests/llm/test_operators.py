@@ -58,11 +58,11 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
     try:
-        old = url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES
-        url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES = 1, 1
+        old = url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES, url_filters.BROADCAST_PLACES
+        url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES, url_filters.BROADCAST_PLACES = 1, 1, 1
         same(url_filters.judge_urls(pages, rules), expected, columns)
     finally:
-        url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES = old
+        url_filters.BROADCAST_RULES, url_filters.MAX_SHAPES, url_filters.BROADCAST_PLACES = old
 
 
 def test_pii_base(docs, rows):
