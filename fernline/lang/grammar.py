@@ -15,7 +15,14 @@ FUNCTIONS = {
 }
 COMPARISONS = ("==", "!=", "<=", ">=", "<", ">")
 ARITHMETIC = ("+", "-", "*", "/")
-PUNCTUATION = ("...", "??", ".**", "[]", *COMPARISONS, "=", *ARITHMETIC, ".", ",", ":", ";", "|", "?", "(", ")", "[", "]", "{", "}", "$")
+PUNCTUATION = ("...", "??", ".**", "[]", *COMPARISONS, "=", *ARITHMETIC, ".", ",", ":", "(", ")", "[", "]", "{", "}", "$")
+
+#: What an editor offers after a word; after all others an operator or the next clause.
+FOLLOWED_BY = {
+    "from": "source", "join": "source", "as": "new name", "fields": "new name", "let": "new name", "is": "type", "limit": "number", "inner": "join", "left": "join", "order": "by",
+    **dict.fromkeys(("on", "unnest", "where", "by", "having", "collect", "and", "or", "not", "in", *PATTERNS), "expression"), **dict.fromkeys(("aggregate", "select"), "block"),
+    **dict.fromkeys((*REDUCERS, *FUNCTIONS, "rollup"), "arguments"),
+}
 
 KEYWORDS = frozenset((*CLAUSES, *GROUPING, *LOGIC, *PATTERNS, *REDUCERS, *LITERALS, *FUNCTIONS))
 
@@ -24,7 +31,7 @@ def manifest() -> dict:
     """The vocabulary as plain data, for editors."""
     groups = {"clause": CLAUSES, "grouping": GROUPING, "logic": LOGIC, "pattern": PATTERNS, "reducer": REDUCERS, "literal": LITERALS, "function": tuple(FUNCTIONS)}
     return {
-        "keywords": [{"text": w, "group": g} for g, words in groups.items() for w in words],
+        "keywords": [{"text": w, "group": g, "role": FOLLOWED_BY.get(w, "operator")} for g, words in groups.items() for w in words],
         "types": list(TYPES),
         "operators": [*COMPARISONS, *ARITHMETIC, "??"],
         "punctuation": [p for p in PUNCTUATION if p not in COMPARISONS and p not in ARITHMETIC and p != "??"],

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], there: list[Column], kind: str) -> DataFrame:
+def key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column, bool]], there: list[Column], kind: str) -> DataFrame:
     """Join on keys that are equal or both null; rows for which ``there`` doesn't hold on either side match nothing.
 
-    Where one side can't be null, plain equality does, under which Spark drops nulls early and may filter one side by the other's keys.
+    Where one side can't be null (by its schema, or by the third of a pair), plain equality does, under which Spark drops nulls early and may filter one side by the other's keys.
     """
     sides = [[f.nullable for f in df.select(*[p[i].alias(f"k{n}") for n, p in enumerate(pairs)]).schema] for i, df in enumerate((left, right))]
     on = None
-    for (a, b), x, y in zip(pairs, *sides, strict=True):
-        same = a.eqNullSafe(b) if x and y else a == b
+    for (a, b, sure), x, y in zip(pairs, *sides, strict=True):
+        same = a.eqNullSafe(b) if x and y and not sure else a == b
         on = same if on is None else on & same
     for c in there:
         on = on & c

@@ -34,6 +34,7 @@ class Ex:
     members: dict[str, Ex] | None = None  # of an obj made of columns
     name: str | None = None  # of the column that a VARIANT alias is
     held: Column | None = None  # of an obj made of columns: where it isn't null (None: everywhere)
+    sure: bool = False  # known never to be null
 
     @property
     def is_literal(self) -> bool:

@@ -139,7 +139,7 @@ class Lowerer:
                 row = K.typed(F.col(rename[table.element]), types[table.element])
             else:
                 hidden = {"__ord", "__pos"}
-                row = Ex("obj", None, None, members={c: K.typed(F.col(n), types[c]) for c, n in rename.items() if c not in hidden})
+                row = Ex("obj", None, None, members={c: replace(K.typed(F.col(n), types[c]), sure=c in table.required) for c, n in rename.items() if c not in hidden})
         elif (document := self.catalog.document_for(names[0] if names else None)) is not None:
             name = self.fresh(alias)
             df, rest = document.select(F.col("doc").alias(name)), segments
@@ -580,15 +580,15 @@ class Lowerer:
                 if (t := K.is_there(e)) is not None:
                     there.append(t)
             if a.kind == b.kind and a.kind in K.SCALARS:
-                pairs.append((a.value(), b.value()))
+                pairs.append((a.value(), b.value(), a.sure or b.sure))
             elif "any" in (a.kind, b.kind):
                 x, y = K.canonical(a), K.canonical(b)
-                pairs.append((x, y))
+                pairs.append((x, y, False))
                 right_there.append(y["t"] != 5)
             elif "null" in (a.kind, b.kind) or a.kind in K.SCALARS and b.kind in K.SCALARS:
-                pairs.append((F.when(K.is_null(a), F.lit("null")).otherwise(F.lit("left")), F.when(K.is_null(b), F.lit("null")).otherwise(F.lit("right"))))
+                pairs.append((F.when(K.is_null(a), F.lit("null")).otherwise(F.lit("left")), F.when(K.is_null(b), F.lit("null")).otherwise(F.lit("right")), True))
             else:
-                pairs.append((F.lit(1), F.lit(0)))
+                pairs.append((F.lit(1), F.lit(0), True))
         flag = None
         if j.kind == "left":
             flag = self.fresh("met")

@@ -28,11 +28,11 @@ LISTED = "tables.parquet"
 class Table:
     """Rows of a path. ``order``: a column whose order is the document's; ``element``: the rows are single values in this column.
 
-    ``frame`` may be given as a function, which is called when a query first needs the table.
+    ``frame`` may be given as a function, which is called when a query first needs the table. ``required``: columns that are never null.
     """
 
-    def __init__(self, frame: DataFrame | Callable[[], DataFrame], order: str | None = None, element: str | None = None):
-        self._frame, self.order, self.element = frame, order, element
+    def __init__(self, frame: DataFrame | Callable[[], DataFrame], order: str | None = None, element: str | None = None, required: frozenset[str] = frozenset()):
+        self._frame, self.order, self.element, self.required = frame, order, element, required
 
     @property
     def frame(self) -> DataFrame:

@@ -250,3 +250,31 @@ def test_large_documents_and_urls_lose_nothing(spark, tmp_path, monkeypatch):
     for engine in (Engine.json(spark, f"file://{root}"), Engine(Catalog.json(spark, str(root)).convert(str(tmp_path / "c3")))):
         assert {t: engine.run(f"from {t} as x").rows for t in roots} == whole
     assert Engine.json(spark, str(path), typed=True).run("from .about.edition as x").rows == [2]
+
+
+def test_indexed_tables_join_without_moving_rows(spark):
+    from fernline.errors import QueryError
+    from fernline.sources.index import Indexes
+
+    text = "from .orders[] as o join .customer[] as c on c.c_custkey == o.o_custkey aggregate { n: count() } by c.c_custkey"
+    engine = Engine.parquet(spark, SF, ["orders", "customer"], queries.ORDER)
+    expected = sorted(engine.query(text).collect())
+    indexes = Indexes(engine.catalog)
+    indexes.build("orders", "o_orderkey", 4)
+    indexes.build("orders", "o_custkey", 4)  # takes the place of the other
+    indexes.build("customer", "c_custkey", 4)
+    assert [(i.source, i.key, i.buckets) for i in indexes.list()] == [(".customer[]", "c_custkey", 4), (".orders[]", "o_custkey", 4)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        p = plan(engine.query(text))
+        assert p.count("Exchange") == 0 and "SortMergeJoin" in p
+        assert sorted(engine.query(text).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert indexes.get(".orders[]", "o_custkey") is not None and indexes.get(".orders[]", "o_orderkey") is None
+    assert indexes.remove(".orders[]", "o_custkey") and not indexes.remove(".orders[]", "o_custkey")
+    indexes.remove(".customer[]", "c_custkey")
+    assert sorted(engine.query(text).collect()) == expected
+    with pytest.raises(QueryError):
+        indexes.build("orders", "nope")
