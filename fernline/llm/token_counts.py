@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 #: Chunks (and prefixes of chunks) whose counts a worker remembers, the longest chunk it remembers, and the pairs of pieces it remembers.
 MEMO, LONG_CHUNK, PAIRS = 400_000, 64, 500_000
@@ -158,8 +160,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in slices(whole, "text", 256, 1 << 20):  # a count for each character is held
                 texts = b.column("text").to_pylist()
                 rows = [table.prefixes(t) for t in texts]
                 n = [int(r[-1]) for r in rows]
