@@ -124,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 sys.stdout.writelines(emit.FORMATS[args.format](counted()))
             if args.stats or args.stats_only:
-                print(f"rows {n}, scanned {lowered.scanned()}, seconds {time.time() - began:.3f}", file=sys.stderr)
+                print(f"rows {n}, scanned {lowered.scanned()}, bytes {lowered.bytes()}, seconds {time.time() - began:.3f}", file=sys.stderr)
         except Exception as e:  # noqa: BLE001
             print(str(e).split("\n")[0], file=sys.stderr)
             return 3

@@ -13,7 +13,7 @@ from ..errors import QueryError
 from ..functions import scalar
 from ..lang import ast, grammar
 from ..operators import relational
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, status
 from . import kinds as K
 from .kinds import Ex
 
@@ -39,6 +39,11 @@ class Lowered:
             time.sleep(0.01)
         return sum(o.get["rows"] for o in self.observations)
 
+    def bytes(self) -> int:
+        """Size of the files that the sources are read from, each file once."""
+        spark = self.df.sparkSession
+        return sum(status(spark, f).getLen() for f in {f for s in self.sources for f in s.inputFiles()})
+
 
 @dataclass
 class Scope:

@@ -147,7 +147,7 @@ class Catalog:
     @staticmethod
     def cached_json(spark: SparkSession, path: str, cache: str) -> Catalog:
         """A JSON document by way of a Parquet copy in the folder ``cache``, made anew when the file's size or time has changed."""
-        status = _status(spark, path)
+        status = status(spark, path)
         key = hashlib.sha256(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:24]
         folder = f"{cache.rstrip('/')}/{key}"
         if not _exists(spark, f"{folder}/{LISTED}"):
@@ -213,7 +213,7 @@ def _in_order(t: Table) -> Column:
     return F.transform(F.array_sort(listed, lambda a, b: a["at"] - b["at"]), lambda x: x["item"])
 
 
-def _status(spark: SparkSession, path: str):
+def status(spark: SparkSession, path: str):
     """Size and time of a file, by Spark's own file systems."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     try:
@@ -229,7 +229,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _peek(spark: SparkSession, path: str) -> tuple[int, str]:
     """A file's size and its first character that is no white space."""
-    size = _status(spark, path).getLen()
+    size = status(spark, path).getLen()
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
     try:

@@ -76,7 +76,7 @@ def file(tmp_path_factory):
 def test_command_line(file, capsys, spark):
     assert cli.main([file, "from .items[] as i where i.id >= $k select { id: i.id, n: i.name }", "-p", "k=2", "-s"]) == 0
     out = capsys.readouterr()
-    assert out.out == '{"id": 2, "n": "bö"}\n{"id": 3, "n": "Zoo"}\n' and "rows 2, scanned 3" in out.err
+    assert out.out == '{"id": 2, "n": "bö"}\n{"id": 3, "n": "Zoo"}\n' and f"rows 2, scanned 3, bytes {os.path.getsize(file)}," in out.err
     assert cli.main([file, "from .items[] as i aggregate { n: count(), s: sum(i.id) }"]) == 0
     assert capsys.readouterr().out == "3\n6\n"
     assert cli.main([file, "from .items[] as i", "-n", "1", "-f", "json"]) == 0
