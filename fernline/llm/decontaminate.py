@@ -55,7 +55,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     found = places.join(vocabulary, (F.xxhash64(F.coalesce("w", F.lit(""))) == F.col("hash")) & (F.col("w") == F.col("word")), "left")
     last = F.col("pos").isNull() | (F.col("pos") == F.col("n_words") - 1)
     rows = found.where(F.col("term").isNotNull() | last).select("rid", "pos", "term", F.when(last, F.col("n_words")).alias("n_words"), F.when(last, F.col("doc_id")).alias("doc_id"))
-    return durable(rows.sortWithinPartitions("term", "rid", "pos"))
+    return durable(rows.sortWithinPartitions("term"))
 
 
 def occurrences(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ task holds a whole source. Rows that agree in source, id and size are counted be
 ordered, so that repeated rows don't meet in one task either.
 
 Defined cases: null text and text of white space have size 0 and take 0 words; sources go by code
-point with null last; equal rows share what falls to them in any order; an empty table gives an
-empty result; a corpus of size 0 has targets of 0.
+point with null last; equal rows share what falls to them in any order; texts of any length are counted whole; columns other than
+doc_id, text and source are not read, and `mixed_rows` keeps them all; an empty table gives an empty result; a corpus of size 0 has targets of 0.
 """
 
 from __future__ import annotations

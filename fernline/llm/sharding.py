@@ -7,8 +7,8 @@ shard opens a region of its own, so that it takes rows only into itself and no r
 the others.
 
 Defined cases: a null doc_id is the empty key; a null text has 0 bytes (size 8) and the checksum 0;
-rows with one doc_id share a shard; equal rows get different slots; an empty table gives an empty
-result.
+rows with one doc_id share a shard; equal rows get different slots; draws that tie go to the child first by name; texts of any length
+are taken whole; columns other than doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ goes within a budget, or how many tokens a cut has, is read off without encoding
 If a model doesn't have these properties (they are checked when it is loaded), whole prefixes are encoded.
 
 Defined cases: a null text is empty; the empty text has 0 bytes and tokens; equal texts
-have equal counts; ids may be null or repeat; an empty table gives an empty result.
+have equal counts; texts of any length are counted whole, with or without spaces; columns other than doc_id and text are not
+read; ids may be null or repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ def docs(spark):
         (900004, "One", "en", "src1"), (900005, "one two three", "en", "src1"), (900006, "1234 !!! 5678", "en", ""), (900007, "É é ÀB ab", "fr", "src2"), (900008, "x" * 5000, "en", "src1"),
         (900009, "ask to@a.b.c+d@e.fr, 1.2.3.4.5.6.7.8 or 300.1.1.1; 4111 1111 1111 1111 +1 (614) 555-8001 +12-", "en", "src1"), (None, "ask", "en", "src1"), (None, "ask", "en", "src1"),
         (900010, "a@b.cc@d.com 4111-1111-1111-1112 00001.2.3.255 +1.2.3.4.5.6.7.8.9.10", None, "src9"), (900011, "word " * 3000, "en", "src1"), (900012, "😀 a😀b@c.de ▁ x  y ", "en", "src1"),
+        (900013, " ".join(f"w{i % 700} é{i % 11}" for i in range(30_000)), "en", "src2"),
     ]
     frame = own.unionByName(spark.createDataFrame(odd, own.schema))
     for clash in ("size", "fp", "key", "rid", "shard", "words", "lang_pred", "row", "n"):
@@ -276,9 +277,11 @@ def test_mpeg_columns_against_a_plain_reader(docs, rows):
         at = [648 + 648 * i for i in range(n)]
         assert b"".join(media[o + 15 : o + 591] for o in at) == payload and len(media) == 648 * n + 720
         assert all(media[o : o + 2] == b"\xff\xf2" for o in at) and media[15:19] == b"Xing" and int.from_bytes(media[23:27], "big") == n
-        expected.append((d, len(media), hashlib.sha256(media).hexdigest(), n * 576 / 16000, str(at)))
+        seek = zlib.crc32(b"".join(o.to_bytes(8, "big") for o in at))
+        told = f"frames={n};samples={n * 576};rate=16000;channels=1;kbps={'144/160' if n > 1 else '160'};vbr_frames={n};bad_crc=0;skipped=0;seek_crc32={seek}"
+        expected.append((d, len(media), hashlib.sha256(media).hexdigest(), told, n * 576 / 16000, str(at)))
     got = mpeg_audio.media_columns(docs).withColumn("offsets", F.concat(F.lit("["), F.array_join("offsets", ", "), F.lit("]")))
-    same(got, expected, ["doc_id", "media_bytes", "media_sha256", "seconds", "offsets"])
+    same(got, expected, ["doc_id", "media_bytes", "media_sha256", "feature", "seconds", "offsets"])
 
 
 def frame(version, layer, index, rate, pad, mode, ext=0, protect=False, length=None, body=b""):
