@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 SCALARS = ("bool", "num", "str")
 #: `.**` follows values to this depth and fails, rather than lose some, if there are deeper ones.
-MAX_DEPTH = 16
+MAX_DEPTH = 32
 _NOTHING = object()
 
 

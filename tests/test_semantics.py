@@ -182,3 +182,16 @@ def test_compile_errors(run, text):
 def test_unknown_table(spark):
     with pytest.raises(QueryError, match="no such table"):
         Engine.parquet(spark, "/root/testdata/sf0.001", ["nation"]).query("from .nope[] as x")
+
+
+def test_descent_loses_nothing(spark):
+    """Values are followed 32 levels deep, and a document with deeper ones is an error, not a part of the answer."""
+    def nest(levels):
+        value = {"k": 0}
+        for i in range(1, levels):
+            value = {"k": i, "in": [value] if i % 2 else value}
+        return Engine.json_text(spark, json.dumps({"t": value}))
+
+    assert sorted(nest(18).run("from .t.**.k as x").rows) == list(range(18))
+    with pytest.raises(Exception, match="deeper than 32"):
+        nest(40).run("from .t.**.k as x")
