@@ -73,14 +73,20 @@ def item_places(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataF
     Rows equal in the three are one item, whose rows follow one another in the prefix sum.
     """
     items = sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
-    items = durable(items.withColumn("bucket", F.concat(size_class(F.col("size")), F.substring(F.md5(id_text(F.col("doc_id")).cast("binary")), 1, SALT_HEX))))
-    held = items.groupBy("source", "bucket").agg(F.sum("n").alias("held"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held")
+    items = durable(items.withColumn("class", size_class(F.col("size"))).withColumn("bucket", F.concat("class", F.substring(F.md5(id_text(F.col("doc_id")).cast("binary")), 1, SALT_HEX))))
+    # What comes before a bucket: the classes before its own, and the buckets before it in its class.
+    before = (Window.unboundedPreceding, -1)
+    held = items.groupBy("source", "class", "bucket").agg(F.sum("n").alias("held"))
+    inside = F.sum("held").over(Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(*before))
+    classes = held.groupBy("source", "class").agg(F.sum("held").alias("held"))
+    classes = classes.withColumn("ahead", F.sum("held").over(Window.partitionBy("source").orderBy("class").rowsBetween(*before))).drop("held")
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn(
         "offset", unit(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))))
     )
-    held = held.join(targets, held["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    classes = classes.join(targets, classes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    held = held.withColumn("inside", inside).drop("held")
+    held = held.join(classes, held["source"].eqNullSafe(classes["source"]) & (held["class"] == classes["class"])).drop(classes["source"], classes["class"], held["class"])
+    held = held.withColumn("ahead", F.coalesce("ahead", F.lit(0)) + F.coalesce("inside", F.lit(0))).drop("inside")
     within = Window.partitionBy("source", "bucket").orderBy("size", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     ranked = items.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
     joined = ranked.join(held, ranked["source"].eqNullSafe(held["source"]) & (ranked["bucket"] == held["bucket"])).drop(held["source"], held["bucket"])
