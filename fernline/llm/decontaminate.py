@@ -61,9 +61,9 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def occurrences(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Places (wid, n, rid, start) where a window of ``windows`` (wid, words, n) occurs."""
     postings = index.where("term is not null").select("rid", "pos", "term")
-    rarity = postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    spelled = windows.select("wid", "n", F.posexplode("words").alias("off", "word")).join(vocabulary.select("word", "term"), "word")
-    ranked = spelled.join(rarity, "term").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("cf", "off", "term"))).alias("by_cf"))
+    rarity = durable(postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
+    spelled = windows.select("wid", "n", F.posexplode("words").alias("off", "word")).join(small(vocabulary.select("word", "term"), BROADCAST_TERMS), "word")
+    ranked = spelled.join(small(rarity, BROADCAST_TERMS), "term").groupBy("wid", "n").agg(F.array_sort(F.collect_list(F.struct("cf", "off", "term"))).alias("by_cf"))
     # a window with a term that no document has can't occur
     ranked = durable(ranked.where(F.size("by_cf") == F.col("n")))
 
