@@ -147,8 +147,8 @@ class Catalog:
     @staticmethod
     def cached_json(spark: SparkSession, path: str, cache: str) -> Catalog:
         """A JSON document by way of a Parquet copy in the folder ``cache``, made anew when the file's size or time has changed."""
-        status = status(spark, path)
-        key = hashlib.sha256(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:24]
+        file = status(spark, path)
+        key = hashlib.sha256(f"{file.getPath()}|{file.getLen()}|{file.getModificationTime()}".encode()).hexdigest()[:24]
         folder = f"{cache.rstrip('/')}/{key}"
         if not _exists(spark, f"{folder}/{LISTED}"):
             Catalog.json(spark, path).convert(folder)
